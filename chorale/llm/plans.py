@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chorale.llm import plans_records
+from chorale.llm import plans_records, plans_text
 
-QUERIES = {**plans_records.QUERIES}
-ORACLE = {**plans_records.ORACLE}
+QUERIES = {**plans_records.QUERIES, **plans_text.QUERIES}
+ORACLE = {**plans_records.ORACLE, **plans_text.ORACLE}
