@@ -26,7 +26,7 @@ WINDOW, STRIDE = 24, 12
 #: Dimensions of the latent space, and extra ones for the randomised range.
 RANK, EXTRA = 192, 16
 #: Least cosine of a candidate.
-COSINE = 0.5
+COSINE = 0.65
 #: A word in more than these shares of both the items and the documents carries no weight.
 COMMON_ITEMS, COMMON_DOCS = 0.05, 0.02
 
