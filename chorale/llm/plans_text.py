@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chorale.llm.leakage import contaminated, leaks
 from chorale.llm.packing import pack_documents
+from chorale.llm.quality import not_prose, text_statistics
 from chorale.sources.tables import table
 
 
@@ -32,5 +33,16 @@ def p9_candidates(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).withColumn("cosine", F.round("cosine", 6))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_candidates": p9_candidates}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id of every document that is mostly list, table or junk."""
+    return not_prose(table(spark, d, "documents"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document."""
+    df = text_statistics(table(spark, d, "documents"))
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_candidates": p9_candidates}
 ORACLE: dict[str, str] = {}
