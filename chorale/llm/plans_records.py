@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chorale.functions.text import trimmed, video_key
 from chorale.llm.copies import canonical_key, collapsed, copy_runs
+from chorale.llm.near import group_pairs, near_duplicate_groups, normal_text
 from chorale.llm.representatives import best_records, consolidated, valid_confidence
 from chorale.sources.tables import table
 
@@ -52,12 +53,29 @@ def p5_copy_counts(spark: SparkSession, d: str) -> DataFrame:
     return collapsed(_named(spark, d), canonical_key(["artist", "song_title"]))
 
 
+def _near_records(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "videos").select("record_id", "video_id", "url", "title", "artist", "song_title")
+    key = F.when((F.col("artist") != "") & (F.col("song_title") != ""), F.xxhash64(canonical_key(["artist", "song_title"])))
+    video = F.xxhash64(F.coalesce(video_key("video_id", "url"), F.concat(F.lit("#"), F.col("record_id").cast("string"))))
+    return v.select("record_id", normal_text(["title", "artist", "song_title"]).alias("text"), video.alias("video"), key.alias("ckey"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """record_a, record_b of every two records in one group of near duplicates."""
+    return group_pairs(near_duplicate_groups(_near_records(spark, d)))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """record_id, group_id of every record that has a near duplicate."""
+    return near_duplicate_groups(_near_records(spark, d)).select("record_id", "group_id")
+
+
 _V_KEY = r"coalesce(nullif(regexp_replace(video_id, '^\s+|\s+$', '', 'g'), ''), nullif(regexp_extract(url, '[?&]v=([A-Za-z0-9_-]{11})', 1), ''), nullif(regexp_extract(url, '/([A-Za-z0-9_-]{11})(?:$|[?&#/])', 1), ''))"
 _L = r"regexp_replace(lower({}), '[^\pL\pN]+', '', 'g')"
 _COPIES = f"""k AS (SELECT record_id, least({_L.format("artist")}, {_L.format("song_title")}) AS a, greatest({_L.format("artist")}, {_L.format("song_title")}) AS b FROM videos WHERE artist <> '' AND song_title <> ''),
 g AS (SELECT min(record_id) OVER (PARTITION BY a, b) AS first_record_id, record_id FROM k)"""
 
-QUERIES = {"p1_found": p1_found, "p1_consolidated": p1_consolidated, "p5_found": p5_found, "p5_copy_counts": p5_copy_counts}
+QUERIES = {"p1_found": p1_found, "p1_consolidated": p1_consolidated, "p5_found": p5_found, "p5_copy_counts": p5_copy_counts, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLE = {
     "p1_found": rf"""WITH r AS (
  SELECT 'videos' AS table_name, {_V_KEY} AS group_id, CASE WHEN parse_confidence BETWEEN 0 AND 1 THEN parse_confidence END AS trust, scraped_at AS t, record_id, release_year AS y FROM videos
