@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chorale.functions.text import trimmed, video_key
 from chorale.llm.copies import canonical_key, collapsed, copy_runs
+from chorale.llm.names import name_clusters, name_pairs
 from chorale.llm.near import group_pairs, near_duplicate_groups, normal_text
 from chorale.llm.representatives import best_records, consolidated, valid_confidence
 from chorale.sources.tables import table
@@ -53,6 +54,26 @@ def p5_copy_counts(spark: SparkSession, d: str) -> DataFrame:
     return collapsed(_named(spark, d), canonical_key(["artist", "song_title"]))
 
 
+def _clusters(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    v, g = table(spark, d, "videos"), table(spark, d, "discogs_data")
+    names = v.select(F.col("artist").alias("name")).unionByName(g.select(F.col("artist_name").alias("name"))).where("name is not null")
+    titles = v.select(F.col("song_title").alias("title")).unionByName(g.select(F.col("song_title").alias("title")))
+    channels = v.select(F.col("channel_name").alias("name")).where("name is not null")
+    return [("artist", name_clusters(names, "artist", titles)), ("channel", name_clusters(channels, "channel"))]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """name_kind, name_a, name_b of every two spellings of one artist or channel."""
+    parts = [name_pairs(c).select(F.lit(kind).alias("name_kind"), "name_a", "name_b") for kind, c in _clusters(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """name_kind, spelling, cluster of every name."""
+    parts = [c.select(F.lit(kind).alias("name_kind"), "spelling", "cluster") for kind, c in _clusters(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
 def _near_records(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "videos").select("record_id", "video_id", "url", "title", "artist", "song_title")
     key = F.when((F.col("artist") != "") & (F.col("song_title") != ""), F.xxhash64(canonical_key(["artist", "song_title"])))
@@ -75,7 +96,7 @@ _L = r"regexp_replace(lower({}), '[^\pL\pN]+', '', 'g')"
 _COPIES = f"""k AS (SELECT record_id, least({_L.format("artist")}, {_L.format("song_title")}) AS a, greatest({_L.format("artist")}, {_L.format("song_title")}) AS b FROM videos WHERE artist <> '' AND song_title <> ''),
 g AS (SELECT min(record_id) OVER (PARTITION BY a, b) AS first_record_id, record_id FROM k)"""
 
-QUERIES = {"p1_found": p1_found, "p1_consolidated": p1_consolidated, "p5_found": p5_found, "p5_copy_counts": p5_copy_counts, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p1_consolidated": p1_consolidated, "p5_found": p5_found, "p5_copy_counts": p5_copy_counts, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLE = {
     "p1_found": rf"""WITH r AS (
  SELECT 'videos' AS table_name, {_V_KEY} AS group_id, CASE WHEN parse_confidence BETWEEN 0 AND 1 THEN parse_confidence END AS trust, scraped_at AS t, record_id, release_year AS y FROM videos
