@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chorale.functions.text import trimmed, video_key
 from chorale.llm.copies import canonical_key, collapsed, copy_runs
+from chorale.llm.matching import matches
 from chorale.llm.names import name_clusters, name_pairs
 from chorale.llm.near import group_pairs, near_duplicate_groups, normal_text
 from chorale.llm.representatives import best_records, consolidated, valid_confidence
@@ -91,12 +92,25 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_near_records(spark, d)).select("record_id", "group_id")
 
 
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """discogs_record_id, video_id and confidence of every match of a release without a video."""
+    g, v = table(spark, d, "discogs_data"), table(spark, d, "videos")
+    left = g.where("video_id is null").select(F.col("record_id").cast("string").alias("key"), F.col("artist_name").alias("artist"), F.col("song_title").alias("title"), F.col("year").cast("int").alias("year"))
+    right = v.select(video_key("video_id", "url").alias("key"), "artist", F.col("song_title").alias("title"), F.col("release_year").cast("int").alias("year"))
+    return matches(left, right).select(F.col("left_key").cast("long").alias("discogs_record_id"), F.col("right_key").alias("video_id"), F.round("confidence", 4).alias("confidence"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """discogs_record_id, video_id of every match."""
+    return p7_matches(spark, d).select("discogs_record_id", "video_id")
+
+
 _V_KEY = r"coalesce(nullif(regexp_replace(video_id, '^\s+|\s+$', '', 'g'), ''), nullif(regexp_extract(url, '[?&]v=([A-Za-z0-9_-]{11})', 1), ''), nullif(regexp_extract(url, '/([A-Za-z0-9_-]{11})(?:$|[?&#/])', 1), ''))"
 _L = r"regexp_replace(lower({}), '[^\pL\pN]+', '', 'g')"
 _COPIES = f"""k AS (SELECT record_id, least({_L.format("artist")}, {_L.format("song_title")}) AS a, greatest({_L.format("artist")}, {_L.format("song_title")}) AS b FROM videos WHERE artist <> '' AND song_title <> ''),
 g AS (SELECT min(record_id) OVER (PARTITION BY a, b) AS first_record_id, record_id FROM k)"""
 
-QUERIES = {"p1_found": p1_found, "p1_consolidated": p1_consolidated, "p5_found": p5_found, "p5_copy_counts": p5_copy_counts, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p1_consolidated": p1_consolidated, "p5_found": p5_found, "p5_copy_counts": p5_copy_counts, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_matches": p7_matches}
 ORACLE = {
     "p1_found": rf"""WITH r AS (
  SELECT 'videos' AS table_name, {_V_KEY} AS group_id, CASE WHEN parse_confidence BETWEEN 0 AND 1 THEN parse_confidence END AS trust, scraped_at AS t, record_id, release_year AS y FROM videos
