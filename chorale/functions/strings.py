@@ -84,6 +84,11 @@ def unmarked(c: Column | str) -> Column:
     return F.regexp_replace(F.translate(col(c), MARKED, PLAIN), r"[\x{0300}-\x{036f}]", "")
 
 
+def plain_ascii(c: Column | str) -> Column:
+    """Latin letters without marks; all else that is not printable ASCII left out."""
+    return F.regexp_replace(unmarked(c), "[^ -~]", "")
+
+
 def normal_name(c: Column | str) -> Column:
     """Lower case without marks, leading articles, quotes and some signs."""
     return F.regexp_replace(chained(unmarked(F.lower(F.regexp_replace(col(c), r"(?U)^\s+|\s+$", ""))), NORMAL), r"(?U)^\s+|\s+$", "")
