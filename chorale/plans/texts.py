@@ -19,7 +19,7 @@ _WORD = r"\pL\pM\p{Nd}\p{Pc}\p{Nl}\x{200c}\x{200d}"
 
 def re2(pattern: str) -> str:
     """A pattern with Unicode classes for an engine whose own classes know ASCII only."""
-    out, inside, i = [], False, 0
+    out, inside, i, begun = [], False, 0, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two in (r"\s", r"\w"):
@@ -32,8 +32,8 @@ def re2(pattern: str) -> str:
             i += 2
             continue
         if pattern[i] == "[" and not inside:
-            inside = True
-        elif pattern[i] == "]" and inside and pattern[i - 1 : i] != "[":
+            inside, begun = True, i + (2 if pattern[i + 1 : i + 2] == "^" else 1)
+        elif pattern[i] == "]" and inside and i > begun:
             inside = False
         out.append(pattern[i])
         i += 1
