@@ -179,6 +179,7 @@ def packed(counts: DataFrame, targets: DataFrame, shard_tokens: int = SHARD_TOKE
     pieces of the capacity and a rest. Documents of 0 tokens or null length come out with a null container;
     targets without a capacity of 1 or more are left out. Container numbers are unique within a target.
     """
+    counts = counts.select("doc_id", "n_tokens")
     total = counts.agg(F.sum("n_tokens")).collect()[0][0] or 0
     shards = max(1, -(-int(total) // shard_tokens))
     limits = targets.where("capacity_tokens >= 1").select(F.col("target_id").cast("long").alias("target_id"), F.col("capacity_tokens").cast("long").alias("capacity")).dropDuplicates(["target_id"])
