@@ -25,8 +25,8 @@ from chorale.plans.stage import staged
 WINDOW, STRIDE = 24, 12
 #: Dimensions of the latent space, and extra ones for the randomised range.
 RANK, EXTRA = 192, 16
-#: Least cosine of a candidate.
-COSINE = 0.65
+#: Least cosine of a candidate; below the second it must have so many consecutive words in common too.
+COSINE, SURE, SHARED = 0.45, 0.65, 7
 #: A word in more than these shares of both the items and the documents carries no weight.
 COMMON_ITEMS, COMMON_DOCS = 0.05, 0.02
 
@@ -166,6 +166,20 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"word": [rows["word"].iloc[0]], "sums": [total.tobytes()]})
 
 
+def _shingles(words: np.ndarray, n: int = SHARED) -> np.ndarray:
+    """A number for each n consecutive words, all of the items' vocabulary."""
+    if len(words) < n:
+        return np.zeros(0, np.int64)
+    w = words.astype(np.uint64)
+    h, ok = np.zeros(len(w) - n + 1, np.uint64), np.ones(len(w) - n + 1, bool)
+    for k in range(n):
+        part = w[k : len(w) - n + 1 + k]
+        h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        ok &= part > 0
+    return h[ok].view(np.int64)
+
+
 def _passages(words: list[int]) -> list[list[int]]:
     return [words[i : i + WINDOW] for i in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)]
 
@@ -212,23 +226,33 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
 
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     latent = unit(held @ basis)
-    sent = spark.sparkContext.broadcast((weight, (weight[:, None] * basis).astype(np.float32), latent, np.array([i for i, _ in passages]), known.ids, known.words, known.answers))
+    sent = spark.sparkContext.broadcast((weight, (weight[:, None] * basis).astype(np.float32), latent, np.array([i for i, _ in passages]), known.ids, known.words, known.answers, [np.unique(_shingles(np.array(w, np.int64))) for w in known.words]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, project, latent, of_item, ids, item_words, answers = sent.value
+        weight, project, latent, of_item, ids, item_words, answers, shingles = sent.value
         for b in batches:
             docs, packed = b.column(0).to_pylist(), b.column(1).to_pylist()
             passage, word, doc_of = _entries(packed, kind, weight)
             out: list[tuple] = []
             if len(passage):
                 sums, rows = _rows(passage, project[word])
-                best: dict[tuple[int, int], float] = {}
+                pairs, cosines = [], []
                 for s in range(0, len(rows), 4096):
                     near = unit(sums[s : s + 4096]) @ latent.T
-                    for r, c in zip(*np.nonzero(near >= cosine)):
-                        k = (int(doc_of[rows[s + r]]), int(of_item[c]))
-                        best[k] = max(best.get(k, 0.0), float(near[r, c]))
-                for (d, i), near_by in best.items():
+                    r, c = np.nonzero(near >= cosine)
+                    pairs.append(doc_of[rows[s + r]] * len(ids) + of_item[c])
+                    cosines.append(near[r, c])
+                pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
+                best = np.zeros(len(pair), np.float32)
+                np.maximum.at(best, at, np.concatenate(cosines))
+                hashed: dict[int, np.ndarray] = {}
+                for p, near_by in zip(pair.tolist(), best.tolist()):
+                    d, i = divmod(p, len(ids))
+                    if near_by < SURE:
+                        if d not in hashed:
+                            hashed[d] = np.unique(_shingles(np.frombuffer(packed[d], kind)))
+                        if not np.isin(shingles[i], hashed[d], assume_unique=True).any():
+                            continue
                     seq = np.frombuffer(packed[d], kind).tolist()
                     answer = answers[i]
                     out.append((docs[d], ids[i], near_by, longest_run(seq, item_words[i]), common_subsequence(seq, item_words[i]), len(item_words[i]), bool(answer) and longest_run(seq, answer) == len(answer)))
