@@ -12,7 +12,7 @@ from chorale.operators.parsing import ladder, parsed
 from chorale.plans.shared import Query
 from chorale.plans.stage import staged
 from chorale.plans.texts import _extracted, _struct_sql, q, re2
-from chorale.sources.tables import table
+from chorale.sources.tables import spread, table
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -41,12 +41,12 @@ SELECT record_id, channel_name, rule, {_sql_group(rules, 'artist')} AS a0, {_sql
 
 def par02_core_rules(spark: SparkSession, d: str) -> DataFrame:
     """Artist and song of every title by the first core rule that fits."""
-    return parsed(table(spark, d, "videos").select("record_id", "title"), CORE).drop("title")
+    return parsed(spread(table(spark, d, "videos").select("record_id", "title")), CORE).drop("title")
 
 
 def par01_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Channel rules, then rules of the script, then core rules."""
-    return ladder(table(spark, d, "videos").select("record_id", "title", "channel_name")).drop("title", "channel_name")
+    return ladder(spread(table(spark, d, "videos").select("record_id", "title", "channel_name"))).drop("title", "channel_name")
 
 
 def agg23_rule_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ ORACLE |= {
 
 def par17_staged_ladder(spark: SparkSession, d: str) -> DataFrame:
     """The stored parse if sure (0.75), else the rules' (0.65), else the best release (0.6): each stage joins only what is left."""
-    v = table(spark, d, "videos").select("record_id", "video_id", "title", "artist", "song_title", "parse_confidence")
+    v = spread(table(spark, d, "videos").select("record_id", "video_id", "title", "artist", "song_title", "parse_confidence"))
     sure = (F.col("parse_confidence") >= 0.75) & (F.col("parse_confidence") <= 1) & (F.col("artist") != "") & (F.col("song_title") != "")
     sure = F.coalesce(sure, F.lit(False))
     done = v.where(sure).select("record_id", F.lit("stored").alias("stage"), F.col("artist").alias("found_artist"), F.col("song_title").alias("found_song"))

@@ -121,7 +121,7 @@ register(
     {
         "st07_live_entries": "SELECT channel_id, record_id FROM (SELECT channel_id, record_id, scraped_at, row_number() OVER (PARTITION BY channel_id ORDER BY scraped_at DESC, record_id DESC) AS rn FROM {videos} WHERE channel_id IS NOT NULL) x WHERE rn <= 20 AND scraped_at >= TIMESTAMP '2024-01-01 00:00:00'",
         "par07_by_split": "SELECT record_id, trim(substring(title, 1, instr(lower(title), ' by ') - 1)) AS left_part, length(title) - instr(lower(title), ' by ') AS right_length FROM {videos} WHERE instr(lower(title), ' by ') > 0",
-        "par12_template_factor": "SELECT channel_id, record_id, round(CASE WHEN parse_confidence BETWEEN 0 AND 1 THEN parse_confidence END * (0.5e0 + 0.5e0 * success), 4) AS confidence FROM (SELECT channel_id, record_id, parse_confidence, avg(CASE WHEN artist <> '' AND song_title <> '' THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY channel_id) AS success FROM {videos} WHERE channel_id IS NOT NULL) x",
+        "par12_template_factor": "SELECT channel_id, record_id, CASE WHEN parse_confidence BETWEEN 0 AND 1 THEN parse_confidence END AS confidence, count(*) OVER (PARTITION BY channel_id) AS titles, count(CASE WHEN artist <> '' AND song_title <> '' THEN 1 END) OVER (PARTITION BY channel_id) AS parsed FROM {videos} WHERE channel_id IS NOT NULL",
         "orc18_summary": "SELECT event_type, 'calls ' || CAST(n AS VARCHAR(20)) || ', users ' || CAST(u AS VARCHAR(20)) AS summary FROM (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS u FROM {events} GROUP BY event_type) e",
         "orc20_first_channels": "SELECT channel_id, channel_name FROM (SELECT channel_id, max(channel_name) AS channel_name FROM {channels} WHERE channel_id IS NOT NULL GROUP BY channel_id) c ORDER BY channel_name NULLS LAST, channel_id LIMIT 10",
         "orc03_sorted_hits": "SELECT video_id, max(view_count) AS view_count FROM {videos} WHERE url LIKE '%watch?v=%' AND video_id IS NOT NULL GROUP BY video_id",
