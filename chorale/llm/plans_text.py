@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from chorale.llm.leakage import contaminated, leaks
 from chorale.llm.packing import pack_documents
 from chorale.llm.quality import not_prose, text_statistics
-from chorale.sources.tables import table
+from chorale.sources.tables import spread, table
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or piece of one, for every target."""
-    return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_targets"))
+    return pack_documents(_documents(spark, d), table(spark, d, "pack_targets"))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -25,22 +29,22 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, item_id of every document with nine or more consecutive words of an item."""
-    return contaminated(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return contaminated(_documents(spark, d), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p9_candidates(spark: SparkSession, d: str) -> DataFrame:
     """All candidates of the latent search with their checks; paraphrases have a long subsequence without a long run."""
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).withColumn("cosine", F.round("cosine", 6))
+    return leaks(_documents(spark, d), table(spark, d, "eval_items")).withColumn("cosine", F.round("cosine", 6))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """doc_id of every document that is mostly list, table or junk."""
-    return not_prose(table(spark, d, "documents"))
+    return not_prose(_documents(spark, d))
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The statistics of every document."""
-    df = text_statistics(table(spark, d, "documents"))
+    df = text_statistics(_documents(spark, d))
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
