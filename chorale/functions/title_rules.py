@@ -46,3 +46,11 @@ BY_CHANNEL: list[tuple[str, list[Rule]]] = [
     ("sing with", [("channel_colon", r"^([^:]+?):\s*(.+?)\s*(?://|[(\[|]|$)", (1,), 2, 0.8)]),
     ("piano", [("channel_style", r"^(.+?)\s+in\s+the\s+style\s+of\s+([^(\[]+?)\s*(?:[(\[]|$)", (2,), 1, 0.85)]),
 ]
+
+#: What a title must hold, in lower case, for a rule to be worth trying; a cheap test before the pattern.
+NEEDED: dict[str, list[str]] = {
+    "last_first": [",", "karaoke"], "song_karaoke_artist": ["(karaoke)"], "song_slash_artist": ["/", "karaoke"], "song_artist_pipe_karaoke": ["|", "karaoke"], "artist_song_pipe": ["|"], "dots": ["•", "karaoke"],
+    "karaoke_song_artist_star": ["karaoke", "*"], "karaoke_song_artist": ["karaoke"], "quoted_artist_song": ['"', "karaoke"], "quoted_style_of": ['"', "style"], "bracket_karaoke": ["[", "karaoke"],
+    "song_artist_karaoke_end": ["karaoke", "("], "song_artist_karaoke_word": ["karaoke"], "artist_song_karaoke": ["karaoke", "("], "style_of": ["style", "("], "in_the_style_of": ["style"], "song_by_artist": ["by", "karaoke"],
+    "artist_quoted_song": ['"'], "song_only": ["karaoke", "("],
+}

@@ -6,20 +6,23 @@ the plan once and not once a rule.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorale.functions.strings import extracted, script
-from chorale.functions.title_rules import BY_CHANNEL, BY_SCRIPT, CORE, Rule
+from chorale.functions.title_rules import BY_CHANNEL, BY_SCRIPT, CORE, NEEDED, Rule
 from chorale.operators.filters import valid_artist, valid_song
 
 _FLAGS = "(?iUu)"
 
 
 def first_rule(title: Column, rules: list[Rule]) -> Column:
-    chain = F
+    chain, low = F, F.lower(title)
     for name, pattern, *_ in rules:
-        chain = chain.when(title.rlike(_FLAGS + pattern), name)
+        fits = title.rlike(_FLAGS + pattern)
+        chain = chain.when(reduce(lambda a, c: c & a, [low.contains(x) for x in reversed(NEEDED.get(name, []))], fits), name)
     return chain.otherwise(F.lit(None))
 
 

@@ -57,10 +57,16 @@ _parts = r"&|,| and | feat\.? | ft\.? "
 _add("flt21_more_artists", _ART, lambda: F.size(F.split(F.lower("a"), _parts)) > F.size(F.split(F.lower("b"), _parts)), f"len(regexp_split_to_array(lower(a), '{_parts}')) > len(regexp_split_to_array(lower(b), '{_parts}'))", _PAIRS)
 
 
+def _block(name: str):
+    """The first five letters of a name's longest word: given names and words of groups make no block."""
+    longest = F.array_max(F.transform(F.split(F.lower(name), "[^a-z]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    return F.left(longest["w"], F.lit(5))
+
+
 def _blocked(spark: SparkSession, d: str) -> DataFrame:
-    """Release artists and video artists with the same first five letters, scored; names are distinct on either side."""
-    asked = table(spark, d, "discogs_data").select(T.plain_ascii("artist_name").alias("query")).where("query <> ''").distinct().withColumn("block", F.left(F.regexp_replace(F.lower("query"), "[^a-z]", ""), F.lit(5)))
-    c = table(spark, d, "videos").select(T.plain_ascii("artist").alias("candidate")).where("candidate <> ''").distinct().withColumn("block", F.left(F.regexp_replace(F.lower("candidate"), "[^a-z]", ""), F.lit(5)))
+    """Release artists and video artists whose longest words begin alike, scored; names are distinct on either side."""
+    asked = table(spark, d, "discogs_data").select(T.plain_ascii("artist_name").alias("query")).where("query <> ''").distinct().withColumn("block", _block("query"))
+    c = table(spark, d, "videos").select(T.plain_ascii("artist").alias("candidate")).where("candidate <> ''").distinct().withColumn("block", _block("candidate"))
     both = asked.join(c, "block").where("length(block) = 5 and abs(length(query) - length(candidate)) <= 4")
     return both.select("query", "candidate", F.round(S.edit_similarity(F.lower("query"), F.lower("candidate")), 6).alias("score")).where("score >= 0.8")
 
@@ -106,7 +112,7 @@ def jn11_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES |= {"jn07_best_match": jn07_best_match, "jn08_all_matches": jn08_all_matches, "jn09_pair_match": jn09_pair_match, "jn10_known_artists": jn10_known_artists, "jn11_nearest_centroid": jn11_nearest_centroid}
 _E = "round(1 - levenshtein(lower(query), lower(candidate))::DOUBLE / greatest(length(lower(query)), length(lower(candidate)), 1), 6)"
-_B = f"b AS (SELECT query, candidate, {_E} AS score FROM (SELECT DISTINCT {_ascii('artist_name')} AS query, left(regexp_replace(lower(query), '[^a-z]', '', 'g'), 5) AS block FROM discogs_data) q JOIN (SELECT DISTINCT {_ascii('artist')} AS candidate, left(regexp_replace(lower(candidate), '[^a-z]', '', 'g'), 5) AS block FROM videos) c USING (block) WHERE length(block) = 5 AND abs(length(query) - length(candidate)) <= 4 AND {_E} >= 0.8)"
+_B = f"b AS (SELECT query, candidate, {_E} AS score FROM (SELECT DISTINCT {_ascii('artist_name')} AS query, left(list_max([{{'n': length(w), 'w': w}} FOR w IN regexp_split_to_array(lower(query), '[^a-z]+')]).w, 5) AS block FROM discogs_data) q JOIN (SELECT DISTINCT {_ascii('artist')} AS candidate, left(list_max([{{'n': length(w), 'w': w}} FOR w IN regexp_split_to_array(lower(candidate), '[^a-z]+')]).w, 5) AS block FROM videos) c USING (block) WHERE length(block) = 5 AND abs(length(query) - length(candidate)) <= 4 AND {_E} >= 0.8)"
 ORACLE |= {
     "jn07_best_match": f"WITH {_B} SELECT query, candidate, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rn FROM b) WHERE rn = 1",
     "jn08_all_matches": f"WITH {_B} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS place FROM b) WHERE place <= 10",
