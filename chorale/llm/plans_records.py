@@ -38,7 +38,7 @@ def p1_consolidated(spark: SparkSession, d: str) -> DataFrame:
     """One record per video built field by field from its records, most trusted and recent first."""
     v = table(spark, d, "videos")
     rows = v.select(video_key("video_id", "url").alias("group_id"), valid_confidence("parse_confidence").alias("trust"), F.col("scraped_at").alias("at"), "record_id", *MERGED).where("group_id is not null")
-    return consolidated(rows, ["group_id"], MERGED, _order())
+    return consolidated(rows, ["group_id"], MERGED, [("trust", True), ("at", True), ("record_id", True)])
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:

@@ -45,17 +45,37 @@ def best_records(df: DataFrame, group: list[str], order: list[Column], record: s
     return out
 
 
-def consolidated(df: DataFrame, group: list[str], fields: list[str], order: list[Column]) -> DataFrame:
+def sort_key(order: list[tuple[str, bool]], types: dict[str, str]) -> Column:
+    """A struct whose smallest value comes first: (column, descending) in order of weight, nulls last.
+
+    Numbers, dates, times and booleans can be descending, strings only ascending.
+    """
+    parts = []
+    for k, (c, descending) in enumerate(order):
+        v, kind = F.col(c), types[c]
+        if kind.startswith(("timestamp", "date")):
+            v = F.unix_micros(v.cast("timestamp"))
+        elif kind == "boolean":
+            v = v.cast("int")
+        elif kind == "string" and descending:
+            raise ValueError(f"{c} is a string; it can only be ascending")
+        if kind in ("double", "float"):
+            v = F.when(~F.isnan(v), v)
+        parts += [v.isNull().alias(f"n{k}"), (-v if descending else v).alias(f"v{k}")]
+    return F.struct(*parts)
+
+
+def consolidated(df: DataFrame, group: list[str], fields: list[str], order: list[tuple[str, bool]]) -> DataFrame:
     """group, copies and the surviving record built field by field.
 
-    Every field takes the value of the first record in `order` where it is neither null nor blank; null
-    where no record has one. The rank is taken once by a window; each field is then an aggregate that
-    combines before the shuffle.
+    order: (column, descending). Every field takes the value of the first record in that order where it is
+    neither null nor blank; null where no record has one. Each field is an aggregate that combines before
+    the shuffle, so a group of any size sends one row per task. Null group keys form a group; repeated rows
+    count as copies; an empty table gives an empty one.
     """
-    ranked = df.select(*group, *fields, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).alias("__rank"))
+    keyed = df.select(*group, *fields, sort_key(order, dict(df.dtypes)).alias("__key"))
 
     def first(c: str) -> Column:
-        held = F.when(F.trim(F.col(c).cast("string")) != "", F.col("__rank"))
-        return F.min_by(F.col(c), held).alias(c)
+        return F.min_by(F.col(c), F.when(F.trim(F.col(c).cast("string")) != "", F.col("__key"))).alias(c)
 
-    return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), *[first(c) for c in fields])
+    return keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), *[first(c) for c in fields])

@@ -24,7 +24,10 @@ def test_best_records_ties_nulls_and_sources(spark):
 
 def test_consolidated_takes_fields_one_by_one(spark):
     df = spark.createDataFrame([("a", 1, None, "x", 1), ("a", 2, "t", " ", 1), ("a", 3, "u", "y", 1), ("b", 1, None, None, 1)], "g string, k int, p string, q string, n int")
-    assert sorted(map(tuple, consolidated(df, ["g"], ["p", "q"], [F.asc("k")]).collect())) == [("a", 3, "t", "x"), ("b", 1, None, None)]
+    assert sorted(map(tuple, consolidated(df, ["g"], ["p", "q"], [("k", False)]).collect())) == [("a", 3, "t", "x"), ("b", 1, None, None)]
+    assert sorted(map(tuple, consolidated(df, ["g"], ["p"], [("k", True)]).collect())) == [("a", 3, "u"), ("b", 1, None)] and consolidated(df.limit(0), ["g"], ["p"], [("k", True)]).count() == 0
+    with pytest.raises(ValueError):
+        consolidated(df, ["g"], ["p"], [("p", True)])
     assert df.select(completeness(["p", "q"]).alias("c")).agg(F.sum("c")).collect()[0][0] == 4
 
 
@@ -139,3 +142,9 @@ def test_matches(spark):
 @pytest.mark.parametrize("title,want", [("A Song - Single Version", (["a", "song"], "")), ("A Song (The Answer)", (["a", "song"], "answer")), ("A Song II", (["a", "song"], "2")), ("A Song, Part Two (Mono)", (["a", "song"], "2")), ("Mono", (["mono"], ""))])
 def test_title_parts(title, want):
     assert title_parts(title) == want
+
+
+def test_groups_are_limited_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("id % 3 as g", "id as record_id")
+    plan = best_records(df, ["g"], [F.desc("record_id")])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
