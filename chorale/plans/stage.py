@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_OWN: set[str] = set()
+
+
+def _removed_at_exit(spark: SparkSession, folder: str) -> None:
+    """The application's own stages go when its driver ends; until then a lazy result may still read them."""
+    if folder in _OWN:
+        return
+    _OWN.add(folder)
+
+    def remove() -> None:
+        try:
+            if folder.startswith("file:") or "://" not in folder:
+                shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+            else:
+                hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session may be gone already; what is left is in a folder of its own
+            pass
+
+    atexit.register(remove)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a Parquet table in the shared folder and read back.
 
@@ -31,6 +55,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     and several readers share one computation.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stages/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_folder(spark)}/stages/{spark.sparkContext.applicationId}"
+    _removed_at_exit(spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
