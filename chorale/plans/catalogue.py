@@ -165,7 +165,7 @@ register(
         "top09_ordered_releases": "SELECT video_id, record_id, place FROM (SELECT video_id, record_id, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC NULLS LAST, community_have DESC NULLS LAST, fetched_at DESC, record_id) AS place FROM {discogs_data} WHERE video_id IS NOT NULL) x WHERE place <= 3",
         "top10_recent_channels": "SELECT channel_id, last_seen, n FROM (SELECT channel_id, max(scraped_at) AS last_seen, count(*) AS n FROM {videos} WHERE channel_id IS NOT NULL GROUP BY channel_id) c ORDER BY last_seen DESC, channel_id LIMIT 50",
         "top12_not_yet_stored": "SELECT g.record_id FROM {discogs_data} g LEFT JOIN {videos} v ON g.video_id = v.video_id WHERE g.video_id IS NOT NULL AND v.video_id IS NULL",
-        "prj05_rounded_families": "SELECT record_id, round(CAST(overall_confidence AS DECIMAL(28, 12)), 2) AS confidence, round(CAST(overall_confidence * 5 AS DECIMAL(28, 12)), 1) AS rating, round(CAST(overall_confidence * 100 AS DECIMAL(28, 12)), 3) AS percentage FROM {video_features} WHERE abs(overall_confidence) < 1000000",
+        "prj05_rounded_families": "SELECT record_id, CAST(round(CAST(overall_confidence AS DECIMAL(28, 12)), 2) AS DOUBLE) AS confidence, CAST(round(CAST(overall_confidence * 5 AS DECIMAL(28, 12)), 1) AS DOUBLE) AS rating, CAST(round(CAST(overall_confidence * 100 AS DECIMAL(28, 12)), 3) AS DOUBLE) AS percentage FROM {video_features} WHERE abs(overall_confidence) < 1000000",
         "orc05_enriched": """
             SELECT v.record_id, r.ryd_rating, coalesce(CASE WHEN v.parse_confidence BETWEEN 0 AND 1 THEN v.parse_confidence END, r.ryd_confidence, 0e0) AS confidence FROM {videos} v LEFT JOIN (
               SELECT video_id, max(ryd_rating) AS ryd_rating, max(ryd_confidence) AS ryd_confidence FROM {ryd_data} WHERE video_id IS NOT NULL GROUP BY video_id) r ON v.video_id = r.video_id""",

@@ -25,7 +25,7 @@ def _profile(table: str, columns: list[str], text: set[str]) -> str:
         f"{f'''count(*) FILTER (WHERE {c} = '')''' if c in text else 'CAST(0 AS BIGINT)'} AS n_blank FROM {{{table}}}"
         for c in columns
     ]
-    return "SELECT column_name, n_rows, n_null, n_blank, round(100.0 * n_null / n_rows, 2) AS null_percent, n_null * 2 > n_rows AS mostly_null FROM (" + " UNION ALL ".join(parts) + ") p"
+    return "SELECT column_name, n_rows, n_null, n_blank, round(1e2 * n_null / n_rows, 2) AS null_percent, n_null * 2 > n_rows AS mostly_null FROM (" + " UNION ALL ".join(parts) + ") p"
 
 
 _VIDEO_COLUMNS = ["video_id", "url", "title", "description", "duration_seconds", "view_count", "like_count", "comment_count", "upload_date", "thumbnail_url", "channel_name", "channel_id", "artist", "song_title", "featured_artists", "release_year", "genre", "parse_confidence", "quality_score", "engagement_ratio", "deleted_at"]
@@ -67,7 +67,7 @@ register(
         "agg16_discogs_coverage": "SELECT field, n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS n FROM {{discogs_data}}" for c in ["release_id", "master_id", "artist_name", "year", "genres", "styles", "label", "country"]) + ") u",
         "agg17_check_flags": "SELECT count(*) FILTER (WHERE discogs_checked) AS discogs_checked, count(*) FILTER (WHERE musicbrainz_checked) AS musicbrainz_checked, count(*) FILTER (WHERE discogs_checked AND musicbrainz_checked) AS checked_by_both FROM {videos}",
         "agg18_compare_halves": """
-            SELECT metric, before, after, after - before AS delta, CASE WHEN before > 0 THEN round(100.0 * (after - before) / before, 4) END AS percent FROM (
+            SELECT metric, before, after, after - before AS delta, CASE WHEN before > 0 THEN round(1e2 * (after - before) / before, 4) END AS percent FROM (
               SELECT 'videos' AS metric, count(*) FILTER (WHERE year(scraped_at) < 2025) AS before, count(*) FILTER (WHERE year(scraped_at) >= 2025) AS after FROM {videos}
               UNION ALL SELECT 'with_artist', count(*) FILTER (WHERE year(scraped_at) < 2025 AND artist <> ''), count(*) FILTER (WHERE year(scraped_at) >= 2025 AND artist <> '') FROM {videos}
               UNION ALL SELECT 'with_year', count(*) FILTER (WHERE year(scraped_at) < 2025 AND release_year IS NOT NULL), count(*) FILTER (WHERE year(scraped_at) >= 2025 AND release_year IS NOT NULL) FROM {videos}) m""",
@@ -90,7 +90,7 @@ register(
         "jn03_orphaned_videos": "SELECT v.record_id, v.channel_id FROM {videos} v WHERE v.channel_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {channels} c WHERE c.channel_id = v.channel_id)",
         "jn04_kept_features": "SELECT f.record_id, f.video_id FROM {video_features} f WHERE EXISTS (SELECT 1 FROM {videos} v WHERE v.video_id = f.video_id)",
         "jn05_dislike_backfill": """
-            SELECT v.record_id, CASE WHEN v.view_count > 0 THEN round(100.0 * (v.like_count - coalesce(r.estimated_dislikes, 0)) / v.view_count, 6) END AS net_ratio
+            SELECT v.record_id, CASE WHEN v.view_count > 0 THEN round(1e2 * (v.like_count - coalesce(r.estimated_dislikes, 0)) / v.view_count, 6) END AS net_ratio
             FROM {videos} v LEFT JOIN (SELECT video_id, max(estimated_dislikes) AS estimated_dislikes FROM {ryd_data} WHERE video_id IS NOT NULL GROUP BY video_id) r ON v.video_id = r.video_id""",
         "jn13_known_by_title": """
             SELECT v.record_id, m.artist, m.song_title FROM {videos} v JOIN (SELECT title, artist, song_title FROM (

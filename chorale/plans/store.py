@@ -22,7 +22,7 @@ register(
         "snk02_latest_ratings": _latest("ryd_data", "video_id", "fetched_at", ["estimated_dislikes", "ryd_likes", "ryd_rating"], ", estimated_dislikes DESC NULLS LAST, ryd_likes DESC NULLS LAST, ryd_rating DESC NULLS LAST"),
         "snk02_latest_releases": _latest("discogs_data", "video_id", "fetched_at", ["record_id", "artist_name", "year"], ", record_id DESC"),
         "snk04_touched_channels": "SELECT channel_id, max(scraped_at) AS updated_at FROM {videos} WHERE channel_id IS NOT NULL GROUP BY channel_id",
-        "prj02_rounded": "SELECT record_id, round(CAST(parse_confidence AS DECIMAL(28, 12)), 2) AS confidence, round(CAST(engagement_ratio AS DECIMAL(28, 12)), 3) AS engagement FROM {videos} WHERE abs(parse_confidence) < 1000000 AND abs(coalesce(engagement_ratio, 0)) < 1000000",
+        "prj02_rounded": "SELECT record_id, CAST(round(CAST(parse_confidence AS DECIMAL(28, 12)), 2) AS DOUBLE) AS confidence, CAST(round(CAST(engagement_ratio AS DECIMAL(28, 12)), 3) AS DOUBLE) AS engagement FROM {videos} WHERE abs(parse_confidence) < 1000000 AND abs(coalesce(engagement_ratio, 0)) < 1000000",
         "prj03_optimized": """
             SELECT record_id, coalesce(nullif(channel_name, ''), 'unknown') AS channel, coalesce(nullif(genre, ''), 'none') AS genre, coalesce(nullif(release_year, 0), try_cast(substring(upload_date, 1, 4) AS INT)) AS year,
               coalesce(engagement_ratio, CASE WHEN view_count > 0 AND like_count IS NOT NULL THEN round(100.0 * like_count / view_count, 3) END) IS NOT NULL AS has_engagement FROM {videos}""",
@@ -39,8 +39,8 @@ register(
         "mig02_channels_v2": "SELECT channel_id, channel_name, coalesce(updated_at, created_at) AS updated_at FROM {channels}",
         "mig03_features_v2": "SELECT record_id, CASE WHEN has_guide_vocals OR overall_confidence > 0.5 THEN 1 ELSE 0 END AS guide_vocals, CASE WHEN is_instrumental OR is_piano_only THEN 1 ELSE 0 END AS without_voice FROM {video_features}",
         "mig04_split_out": "SELECT video_id, master_id, artist_name, confidence FROM {discogs_data} WHERE master_id IS NOT NULL",
-        "mig05_validation": "SELECT record_id, artist <> '' AND song_title <> '' AS is_valid, CASE WHEN artist <> '' THEN 0.5 ELSE 0 END + CASE WHEN song_title <> '' THEN 0.5 ELSE 0 END AS validation_score FROM {videos}",
-        "mig06_rounded_ratings": "SELECT video_id, round(CAST(ryd_rating AS DECIMAL(28, 12)), 1) AS rating, round(CAST(ryd_confidence AS DECIMAL(28, 12)), 2) AS confidence FROM {ryd_data} WHERE abs(ryd_rating) < 1000000",
+        "mig05_validation": "SELECT record_id, artist <> '' AND song_title <> '' AS is_valid, CASE WHEN artist <> '' THEN 5e-1 ELSE 0e0 END + CASE WHEN song_title <> '' THEN 5e-1 ELSE 0e0 END AS validation_score FROM {videos}",
+        "mig06_rounded_ratings": "SELECT video_id, CAST(round(CAST(ryd_rating AS DECIMAL(28, 12)), 1) AS DOUBLE) AS rating, CAST(round(CAST(ryd_confidence AS DECIMAL(28, 12)), 2) AS DOUBLE) AS confidence FROM {ryd_data} WHERE abs(ryd_rating) < 1000000",
         "mig09_range_check": "SELECT count(*) AS violations FROM {ryd_data} WHERE ryd_likes < 0 OR estimated_dislikes < 0 OR ryd_rating < 0",
         "mig12_cascade": "SELECT f.record_id FROM {video_features} f WHERE f.video_id IN (SELECT video_id FROM {videos} WHERE video_id IS NOT NULL AND deleted_at IS NOT NULL)",
         "st01_incremental": """
