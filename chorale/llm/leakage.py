@@ -31,19 +31,27 @@ COSINE, SURE, SHARED = 0.45, 0.65, 7
 COMMON_ITEMS, COMMON_DOCS = 0.05, 0.02
 
 _WORD = re.compile(r"[^\W_]+")
-_NOT_TEXT = re.compile(
-    r"<[^<>]{0,300}>"  # mark-up tags
-    r"|&(?:[a-zA-Z]{2,8}|#\d{1,6});"  # entities
-    r"|^[ \t]*\d{1,6}[ \t]*\r?\n(?=[ \t]*\d{1,2}:\d{2})"  # numbers of cues
-    r"|[\[(]?(?<![\w:])\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?![\w:])[\])]?"  # cue times
-    r"|^[ \t]*(?:\d{1,3}[.)]|[a-zA-Z][.)]|\[[ xX]?\])(?=\s)",  # line marks
+_TAGS = re.compile(r"<[^<>]{0,300}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
+_CUES = re.compile(
+    r"^[ \t]*\d{1,6}[ \t]*\r?\n(?=[ \t]*\d{1,2}:\d{2})"  # numbers of cues
+    r"|[\[(]?(?<![\w:])\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?![\w:])[\])]?",  # cue times
     re.MULTILINE,
 )
+_MARKS = re.compile(r"^[ \t]*(?:\d{1,3}[.)]|[a-zA-Z][.)]|\[[ xX]?\])(?=\s)", re.MULTILINE)
 
 
 def words_of(text: str | None) -> list[str]:
     """The words that count: lower case, without punctuation, mark-up, cue times and line marks."""
-    return _WORD.findall(_NOT_TEXT.sub(" ", text).lower()) if text else []
+    if not text:
+        return []
+    # each pattern is tried only where a sign it needs is in the text
+    if "<" in text or "&" in text:
+        text = _TAGS.sub(" ", text)
+    if ":" in text:
+        text = _CUES.sub(" ", text)
+    if "." in text or ")" in text or "]" in text:
+        text = _MARKS.sub(" ", text)
+    return _WORD.findall(text.lower())
 
 
 def longest_run(doc: list[int], item: list[int]) -> int:
