@@ -130,12 +130,17 @@ def _entries(packed: list[bytes], kind: str, weight: np.ndarray) -> tuple[np.nda
     return np.concatenate([passage, passage - 1]), np.concatenate([word, word]), np.repeat(np.arange(len(arrays)), counts)
 
 
-def _rows(passage: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of `values` by passage, and the passages."""
+def _blocks(passage: np.ndarray, word: np.ndarray, most: int = 30_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passages, start of each, words) of about `most` entries at a time, passages whole: what is spread over the dimensions stays small."""
     order = np.argsort(passage, kind="stable")
-    passage = passage[order]
-    starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-    return np.add.reduceat(values[order], starts, axis=0), passage[starts]
+    passage, word = passage[order], word[order]
+    starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.zeros(0, np.int64)
+    k = 0
+    while k < len(starts):
+        n = max(k + 1, int(np.searchsorted(starts, starts[k] + most)))
+        end = starts[n] if n < len(starts) else len(passage)
+        yield passage[starts[k:n]], starts[k:n] - starts[k], word[starts[k] : end]
+        k = n
 
 
 def _document_counts(kind: str, size: int):
@@ -157,12 +162,13 @@ def _products(kind: str, weight: np.ndarray, omega: np.ndarray):
         total = np.zeros(omega.shape, np.float64)
         for b in batches:
             passage, word, _ = _entries(b.column(0).to_pylist(), kind, weight)
-            if len(passage):
-                by_word = omega[word] * weight[word][:, None]
-                sums, rows = _rows(passage, by_word)
-                back = sums[np.searchsorted(rows, passage)] * weight[word][:, None]
-                added, words = _rows(word.astype(np.int64), back)
-                total[words] += added
+            for _, starts, words in _blocks(passage, word):
+                w = weight[words][:, None]
+                sums = np.add.reduceat(omega[words] * w, starts, axis=0)
+                back = np.repeat(sums, np.diff(np.r_[starts, len(words)]), axis=0) * w
+                order = np.argsort(words, kind="stable")
+                firsts = np.flatnonzero(np.r_[True, np.diff(words[order]) != 0])
+                total[words[order][firsts]] += np.add.reduceat(back[order], firsts, axis=0)
         some = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([total[i].tobytes() for i in some], pa.binary())], names=["word", "sums"])
 
@@ -242,14 +248,15 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
             docs, packed = b.column(0).to_pylist(), b.column(1).to_pylist()
             passage, word, doc_of = _entries(packed, kind, weight)
             out: list[tuple] = []
-            if len(passage):
-                sums, rows = _rows(passage, project[word])
-                pairs, cosines = [], []
+            pairs, cosines = [], []
+            for rows, starts, words in _blocks(passage, word):
+                sums = np.add.reduceat(project[words], starts, axis=0)
                 for s in range(0, len(rows), 4096):
                     near = unit(sums[s : s + 4096]) @ latent.T
                     r, c = np.nonzero(near >= cosine)
                     pairs.append(doc_of[rows[s + r]] * len(ids) + of_item[c])
                     cosines.append(near[r, c])
+            if pairs:
                 pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
                 best = np.zeros(len(pair), np.float32)
                 np.maximum.at(best, at, np.concatenate(cosines))
