@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chorale.plans.ship import shipped
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The whole table `name` of `folder`; columns are pruned by whoever selects from it."""
+    shipped(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
