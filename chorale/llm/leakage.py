@@ -2,7 +2,8 @@
 
 Method: passages of all documents become TF-IDF vectors over the words of the evaluation items; a
 randomised SVD, summed up over all partitions, gives a latent space; passages near an item's passage
-by cosine are candidates, which are then checked word by word (longest common run, longest common
+by cosine are candidates, and so are documents with some consecutive words of an item (a short run in other
+text is far by cosine); they are then checked word by word (longest common run, longest common
 subsequence, presence of the answer). Only tables of the size of the item set reach the driver.
 """
 
@@ -25,7 +26,7 @@ from chorale.plans.stage import staged
 WINDOW, STRIDE = 24, 12
 #: Dimensions of the latent space, and extra ones for the randomised range.
 RANK, EXTRA = 192, 16
-#: Least cosine of a candidate; below the second it must have so many consecutive words in common too.
+#: Least cosine of a candidate; below the second it must have so many consecutive words in common too, which make a candidate by themselves.
 COSINE, SURE, SHARED = 0.45, 0.65, 7
 #: A word in more than these shares of both the items and the documents carries no weight.
 COMMON_ITEMS, COMMON_DOCS = 0.05, 0.02
@@ -180,10 +181,10 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"word": [rows["word"].iloc[0]], "sums": [total.tobytes()]})
 
 
-def _shingles(words: np.ndarray, n: int = SHARED) -> np.ndarray:
-    """A number for each n consecutive words, all of the items' vocabulary."""
+def _shingles(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where n consecutive words are all of the items' vocabulary, and a number for each."""
     if len(words) < n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     w = words.astype(np.uint64)
     h, ok = np.zeros(len(w) - n + 1, np.uint64), np.ones(len(w) - n + 1, bool)
     for k in range(n):
@@ -191,16 +192,40 @@ def _shingles(words: np.ndarray, n: int = SHARED) -> np.ndarray:
         h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         ok &= part > 0
-    return h[ok].view(np.int64)
+    return np.flatnonzero(ok), h[ok].view(np.int64)
+
+
+def _item_shingles(items: list[list[int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all items' runs of n words, sorted, and the item of each."""
+    got = [np.unique(_shingles(np.array(w, np.int64), n)[1]) for w in items]
+    numbers, of = np.concatenate([np.zeros(0, np.int64), *got]), np.repeat(np.arange(len(got)), [len(x) for x in got])
+    order = np.lexsort((of, numbers))
+    return numbers[order], of[order]
+
+
+def _sharing(packed: list[bytes], kind: str, n: int, numbers: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The document (by place) and item of every pair that has n consecutive words in common."""
+    gap = np.zeros(1, kind)  # no run reaches into the next document
+    arrays = [x for p in packed for x in (np.frombuffer(p, kind), gap)]
+    ends = np.cumsum([len(p) // gap.itemsize + 1 for p in packed])
+    at, h = _shingles(np.concatenate([gap, *arrays])[1:], n)
+    first, last = np.searchsorted(numbers, h), np.searchsorted(numbers, h, "right")
+    some = np.flatnonzero(last > first)
+    many = (last - first)[some]
+    doc = np.repeat(np.searchsorted(ends, at[some], "right"), many)
+    item = of[np.repeat(first[some] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+    return tuple(np.unique(np.stack([doc, item]), axis=1).astype(np.int64))
 
 
 def _passages(words: list[int]) -> list[list[int]]:
     return [words[i : i + WINDOW] for i in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)]
 
 
-def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank: int = RANK, seed: int = 7) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank: int = RANK, seed: int = 7, shared: int = SHARED) -> DataFrame:
     """doc_id, item_id, cosine, run_words, subsequence_words, item_words, answer_found of every candidate.
 
+    Candidates are near by cosine, or have `shared` consecutive words in common, whatever their cosine.
+
     documents: doc_id, text. items: item_id, item_text, answer; of a size that fits the driver (held-out
     tests do). All documents are searched over their whole text. A null or empty text has no candidates,
     nor has an empty table; items without words match nothing; repeated rows come out repeatedly.
@@ -240,15 +265,19 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
 
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     latent = unit(held @ basis)
-    sent = spark.sparkContext.broadcast((weight, (weight[:, None] * basis).astype(np.float32), latent, np.array([i for i, _ in passages]), known.ids, known.words, known.answers, [np.unique(_shingles(np.array(w, np.int64))) for w in known.words]))
+    sent = spark.sparkContext.broadcast((weight, (weight[:, None] * basis).astype(np.float32), latent, np.array([i for i, _ in passages]), known.ids, known.words, known.answers, *_item_shingles(known.words, shared)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, project, latent, of_item, ids, item_words, answers, shingles = sent.value
+        weight, project, latent, of_item, ids, item_words, answers, numbers, run_of = sent.value
         for b in batches:
             docs, packed = b.column(0).to_pylist(), b.column(1).to_pylist()
             passage, word, doc_of = _entries(packed, kind, weight)
             out: list[tuple] = []
-            pairs, cosines = [], []
+            run_doc, run_item = _sharing(packed, kind, shared, numbers, run_of)
+            runs = run_doc * len(ids) + run_item
+            has_run = np.zeros(len(docs), bool)
+            has_run[run_doc] = True
+            pairs, cosines = [runs], [np.zeros(len(runs), np.float32)]
             for rows, starts, words in _blocks(passage, word):
                 sums = np.add.reduceat(project[words], starts, axis=0)
                 for s in range(0, len(rows), 4096):
@@ -256,18 +285,18 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
                     r, c = np.nonzero(near >= cosine)
                     pairs.append(doc_of[rows[s + r]] * len(ids) + of_item[c])
                     cosines.append(near[r, c])
-            if pairs:
+                    of_run = np.flatnonzero(has_run[doc_of[rows[s : s + 4096]]])
+                    pair = (doc_of[rows[s + of_run]] * len(ids))[:, None] + of_item
+                    low = np.isin(pair, runs)
+                    pairs.append(pair[low])
+                    cosines.append(near[of_run][low])
+            if sum(map(len, pairs)):
                 pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
                 best = np.zeros(len(pair), np.float32)
                 np.maximum.at(best, at, np.concatenate(cosines))
-                hashed: dict[int, np.ndarray] = {}
-                for p, near_by in zip(pair.tolist(), best.tolist()):
+                keep = (best >= SURE) | np.isin(pair, runs)
+                for p, near_by in zip(pair[keep].tolist(), best[keep].tolist()):
                     d, i = divmod(p, len(ids))
-                    if near_by < SURE:
-                        if d not in hashed:
-                            hashed[d] = np.unique(_shingles(np.frombuffer(packed[d], kind)))
-                        if not np.isin(shingles[i], hashed[d], assume_unique=True).any():
-                            continue
                     seq = np.frombuffer(packed[d], kind).tolist()
                     answer = answers[i]
                     out.append((docs[d], ids[i], near_by, longest_run(seq, item_words[i]), common_subsequence(seq, item_words[i]), len(item_words[i]), bool(answer) and longest_run(seq, answer) == len(answer)))
@@ -281,4 +310,4 @@ _LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", p
 
 def contaminated(documents: DataFrame, items: DataFrame, run: int = 9, **options) -> DataFrame:
     """The candidates that contain at least `run` consecutive words of the item."""
-    return leaks(documents, items, **options).where(F.col("run_words") >= run)
+    return leaks(documents, items, shared=min(run, SHARED), **options).where(F.col("run_words") >= run)

@@ -57,6 +57,20 @@ def test_leaks_against_brute_force(spark):
     assert leaks(df.limit(0), ev).count() == 0 and leaks(df, ev.limit(0)).count() == 0
 
 
+def test_leaks_of_exactly_nine_words(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(150)]
+    items = [(i, " ".join(rng.choices(words, k=60)), "blue") for i in range(40)]
+    docs = []
+    for d in range(600):
+        w, it = rng.choices(words, k=200), items[d % 40][1].split()
+        at, k = rng.randrange(51), rng.randrange(200)
+        w[k:k] = it[at : at + 9]
+        docs.append((d, " ".join(w)))
+    df, ev = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string, answer string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(df, ev).collect()} >= {(d, d % 40) for d in range(600)}
+
+
 @pytest.mark.parametrize("capacity", [7, 64, 1000])
 def test_pack_keeps_capacity_and_fills(capacity):
     rng = np.random.default_rng(2)
