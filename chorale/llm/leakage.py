@@ -26,8 +26,8 @@ from chorale.plans.stage import staged
 WINDOW, STRIDE = 24, 12
 #: Dimensions of the latent space, and extra ones for the randomised range.
 RANK, EXTRA = 192, 16
-#: Least cosine of a candidate; below the second it must have so many consecutive words in common too, which make a candidate by themselves.
-COSINE, SURE, SHARED = 0.45, 0.65, 7
+#: Least cosine of a candidate; so many consecutive words in common make one by themselves.
+COSINE, SHARED = 0.45, 7
 #: A word in more than these shares of both the items and the documents carries no weight.
 COMMON_ITEMS, COMMON_DOCS = 0.05, 0.02
 
@@ -181,6 +181,17 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"word": [rows["word"].iloc[0]], "sums": [total.tobytes()]})
 
 
+def _only(seq: np.ndarray, words: list[int], mask: np.ndarray) -> list[int]:
+    """The places of `seq` that hold some of `words`, each stretch of others as one 0: runs and subsequences in common with them stay. `mask` is false everywhere."""
+    mask[words] = True
+    mask[0] = False
+    some = mask[seq]
+    mask[words] = False
+    keep = some.copy()
+    keep[1:] |= some[:-1]
+    return np.where(some, seq, 0)[keep].tolist()
+
+
 def _shingles(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Where n consecutive words are all of the items' vocabulary, and a number for each."""
     if len(words) < n:
@@ -221,10 +232,11 @@ def _passages(words: list[int]) -> list[list[int]]:
     return [words[i : i + WINDOW] for i in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)]
 
 
-def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank: int = RANK, seed: int = 7, shared: int = SHARED) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank: int = RANK, seed: int = 7, shared: int = SHARED, runs_only: bool = False) -> DataFrame:
     """doc_id, item_id, cosine, run_words, subsequence_words, item_words, answer_found of every candidate.
 
-    Candidates are near by cosine, or have `shared` consecutive words in common, whatever their cosine.
+    Candidates are near by cosine, or have `shared` consecutive words in common, whatever their cosine;
+    with `runs_only` the latter alone come out. All are checked.
 
     documents: doc_id, text. items: item_id, item_text, answer; of a size that fits the driver (held-out
     tests do). All documents are searched over their whole text. A null or empty text has no candidates,
@@ -269,6 +281,7 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, project, latent, of_item, ids, item_words, answers, numbers, run_of = sent.value
+        mask = np.zeros(len(weight), bool)
         for b in batches:
             docs, packed = b.column(0).to_pylist(), b.column(1).to_pylist()
             passage, word, doc_of = _entries(packed, kind, weight)
@@ -294,12 +307,12 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
                 pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
                 best = np.zeros(len(pair), np.float32)
                 np.maximum.at(best, at, np.concatenate(cosines))
-                keep = (best >= SURE) | np.isin(pair, runs)
+                keep = np.isin(pair, runs) if runs_only else np.ones(len(pair), bool)
                 for p, near_by in zip(pair[keep].tolist(), best[keep].tolist()):
                     d, i = divmod(p, len(ids))
-                    seq = np.frombuffer(packed[d], kind).tolist()
-                    answer = answers[i]
-                    out.append((docs[d], ids[i], near_by, longest_run(seq, item_words[i]), common_subsequence(seq, item_words[i]), len(item_words[i]), bool(answer) and longest_run(seq, answer) == len(answer)))
+                    whole, answer = np.frombuffer(packed[d], kind), answers[i]
+                    seq = _only(whole, item_words[i], mask)
+                    out.append((docs[d], ids[i], near_by, longest_run(seq, item_words[i]), common_subsequence(seq, item_words[i]), len(item_words[i]), bool(answer) and longest_run(_only(whole, answer, mask), answer) == len(answer)))
             yield pa.RecordBatch.from_pylist([dict(zip(_LEAK.names, x)) for x in out], schema=_LEAK)
 
     return numbered.mapInArrow(search, schema)
@@ -310,4 +323,4 @@ _LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", p
 
 def contaminated(documents: DataFrame, items: DataFrame, run: int = 9, **options) -> DataFrame:
     """The candidates that contain at least `run` consecutive words of the item."""
-    return leaks(documents, items, shared=min(run, SHARED), **options).where(F.col("run_words") >= run)
+    return leaks(documents, items, shared=min(run, SHARED), runs_only=True, **options).where(F.col("run_words") >= run)

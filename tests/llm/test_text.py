@@ -71,6 +71,20 @@ def test_leaks_of_exactly_nine_words(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(df, ev).collect()} >= {(d, d % 40) for d in range(600)}
 
 
+def test_paraphrases_are_candidates_from_the_least_cosine(spark):
+    rng = random.Random(15)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(24)), f"w{i}x1") for i in range(8)]
+    docs = []
+    for d in range(80):
+        w = [x for k, x in enumerate(items[d % 8][1].split()) if k % 3]  # no three consecutive words
+        docs.append((d, " ".join(w + [f"w{(d + 1) % 8}x{k}" for k in rng.sample(range(24), d // 8 * 2)])))
+    df, ev = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string, answer string")
+    got = {(r.doc_id, r.item_id): r for r in leaks(df, ev).collect()}
+    assert all(r.run_words < 7 and r.cosine >= 0.45 - 1e-6 for r in got.values())
+    assert {(d, d % 8) for d in range(80)} <= set(got) and any(r.cosine < 0.65 for r in got.values())
+    assert all(got[d, d % 8].subsequence_words >= 16 and got[d, d % 8].answer_found for d in range(80)) and contaminated(df, ev).count() == 0
+
+
 @pytest.mark.parametrize("capacity", [7, 64, 1000])
 def test_pack_keeps_capacity_and_fills(capacity):
     rng = np.random.default_rng(2)
