@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chorale.llm.copies import canonical_key, collapsed, copy_runs
 from chorale.llm.graph import components
 from chorale.llm.matching import matches, title_parts
-from chorale.llm.names import average_linkage, explicable, link_keys, name_clusters, name_pairs, plain_words, slips
+from chorale.llm.names import SLOTS, _vector, average_linkage, cosine, explicable, grouped, link_keys, name_clusters, name_pairs, plain_words, slips, sparse_linkage
 from chorale.llm.near import group_pairs, near_duplicate_groups, normal_text, trigrams
 from chorale.llm.representatives import best_records, completeness, consolidated, valid_confidence
 
@@ -152,6 +152,39 @@ def test_name_clusters_of_frequent_n_grams(spark):
     assert ("vesterlumd", "vesterlund") in set(map(tuple, name_pairs(name_clusters(spark.createDataFrame([(n,) for n in names], "name string"))).collect()))
 
 
+def test_sparse_linkage_is_average_linkage():
+    rng = np.random.default_rng(6)
+    for n in (3, 20, 60, 150):
+        s = np.round(rng.random((n, n)), 1) * (rng.random((n, n)) < 8 / n)
+        s = np.triu(s, 1) + np.triu(s, 1).T
+        got = sparse_linkage(n, {(i, j): s[i, j] for i in range(n) for j in range(i) if s[i, j]}, 0.2)
+        assert got == average_linkage(s, 0.2).tolist()
+
+
+def test_large_components_are_grouped_as_small_ones():
+    rng = random.Random(9)
+    weight, word = np.ones(SLOTS), lambda n: "".join(rng.choice("bcdfgklmnprst") for _ in range(n))
+    base = [word(10) for _ in range(3)]
+    names = {" ".join(sorted((b[:i] + word(1) + b[i + 1 :], rng.choice(["anna", "a", "otto"])))) for b in base for _ in range(220) for i in [rng.randrange(10)]}
+    names = sorted(names)
+    assert len(names) > 400
+    words, vectors = [x.split() for x in names], [_vector(x.split(), weight) for x in names]
+    s = np.zeros((len(names), len(names)))
+    for i in range(len(names)):
+        for j in range(i):
+            if explicable(words[i], words[j], set()):
+                s[i, j] = s[j, i] = cosine(vectors[i], vectors[j])
+    links = [(names[j], names[i], s[i, j]) for i in range(len(names)) for j in range(i) if s[i, j] and explicable(words[j], words[i], set(), 1)]
+    inside = {x for a, b, _ in links for x in (a, b)}
+    assert inside == set(names)
+    label = average_linkage(s, 0.2)
+    assert dict(grouped(links, weight, 0.2, set())) == {x: names[label[i]] for i, x in enumerate(names)}
+    # more than 2,000 names: the weakest links count too
+    pairs = [(w := word(12), w + "x", 0.3 if k < 300 else 0.9) for k in range(1100)]
+    got = dict(grouped(pairs, weight, 0.2, set()))
+    assert all(got[a] == got[b] == a for a, b, _ in pairs)
+
+
 def test_matches(spark):
     schema = "key string, artist string, title string, year int, song long"
     right = [("v1", "Ann Lee", "Golden River", 1990, 0), ("v2", "Bo Ray", "Golden River", 1991, 0), ("v3", "Ann Lee", "Silver Lamp (Part Two)", 1990, 0), ("v4", "Unknown Artist", "Lost Harbour Song", 2001, 0), (None, "A", "B", 1, 0), ("v5", "C", None, 1, 0)]
