@@ -27,7 +27,7 @@ THRESHOLD = 0.75
 SLOTS = 1 << 19
 #: A word in at most so many records makes a region by itself; so many of a record's words may.
 ALONE, ALONE_WORDS = 300, 6
-#: Of a record's more common words the rarest so many are combined, until a region of this size is expected.
+#: Of a record's more common words the rarest so many are combined in pairs; a pair that expects more rows than this has a region all the same.
 COMBINED, EXPECTED = 3, 300
 #: Rows of a region that one task takes; larger regions are cut into pairs of chunks.
 CHUNK = 20_000
@@ -125,14 +125,9 @@ def _regions(counts, total: int):
                     regions.append(_mix(table[good, i], table[good, j]))
                     rows.append(good)
                     large = expected > EXPECTED
-                    for k in range(j + 1, COMBINED):
-                        three = np.flatnonzero(large & ~np.isnan(freq[:, k]))
-                        regions.append(_mix(table[three, i], table[three, j], table[three, k]))
-                        rows.append(three)
-                    if j + 1 < COMBINED:  # no further word to split by: the large region itself
-                        rest = np.flatnonzero(large & np.isnan(freq[:, j + 1]))
-                        regions.append(_mix(table[rest, i], table[rest, j]))
-                        rows.append(rest)
+                    rest = np.flatnonzero(large)  # the large region itself, as no further word need be in common
+                    regions.append(_mix(table[rest, i], table[rest, j]))
+                    rows.append(rest)
             # a record whose only shared word is a common one: by that word
             have = np.zeros(n, bool)
             for x in rows:

@@ -93,6 +93,16 @@ def test_near_duplicates_against_brute_force(spark, seed):
     assert {(r.record_a, r.record_b) for r in group_pairs(near_duplicate_groups(df)).collect()} == brute_groups(rows)
 
 
+def test_near_duplicates_of_common_words_with_one_changed(spark):
+    words = ["barley", "copper", "dahlia", "ember"]
+    rows = [(i, f"{i:05d}q " + " ".join(w for k, w in enumerate(words) if (i + k) % 5 or i % 2), i, None) for i in range(2000)]
+    rows += [(9001, "barley copper dahlia endless evenings wonderful", 9001, None), (9002, "barlex copper dahlia endless evenings wonderful", 9002, None)]
+    # the last words are common as well, so no rare word is shared
+    rows += [(5000 + i, f"{i:05d}z endless evenings wonderful {i * 7919 % 100000:05d}", 5000 + i, None) for i in range(1800)]
+    df = spark.createDataFrame(rows, "record_id long, text string, video long, ckey long")
+    assert (9001, 9002) in {(r.record_a, r.record_b) for r in group_pairs(near_duplicate_groups(df)).collect()}
+
+
 def test_near_duplicates_of_nothing_and_of_one_video(spark):
     schema = "record_id long, text string, video long, ckey long"
     assert near_duplicate_groups(spark.createDataFrame([], schema)).count() == 0
