@@ -1,13 +1,15 @@
-"""Near-duplicate records with small edits (problem 6).
-
-The method asked for is a metric-space join: pivots, Voronoi regions, and windows by the triangle
-inequality that replicate boundary records. On trigram sets of titles all distances between unrelated
-records lie within 0.75 to 1, the windows (twice the radius of 0.25) reach over every region, and each
-record is replicated to all; so regions are first drawn around rare words (a record goes to the region of
-each of its rarer words, and to those of combinations of its common words, which split what would be too
-large), and within a region the join goes on by the metric: bitmaps of the trigram sets, whose Hamming
-distance never exceeds the sets' distance, split a region recursively by two pivots as long as windows
-leave less than all on both sides, and every pair within the bound is checked exactly.
+"""Near-duplicate records with small edits (problem 6): a metric-space join, exact at every size.
+
+The metric is the set difference of trigram sets, of which the Jaccard similarity sets the radius: of two
+records that are similar enough, x lacks at most b(x) = |x| - ceil(t |x|) of its trigrams in the other.
+Pivots are the sets of one trigram. A record is nearer to a pivot the rarer the pivot's trigram is among
+those it has; its Voronoi region is that of its nearest pivot, and by the radius a record within reach has
+one of the nearest b(x) + 1 pivots too: these are the window, and the record is replicated to each of their
+regions. A region with more than `HOT` records is not compared but split recursively by the next nearest
+pivot within what is left of the radius, over tasks; after `LEVELS` splits by pairs of chunks. Within a
+region sizes and places leave out pairs that can't overlap enough, 128-bit bitmaps of the sets (their
+difference never exceeds the sets') most others, and what remains is checked with the whole texts.
+Records as pivots replicate each record to nearly every region; see the README.
 """
 
 from __future__ import annotations
@@ -23,16 +25,16 @@ from chorale.llm.graph import components
 from chorale.plans.stage import staged
 
 THRESHOLD = 0.75
-#: Slots of the word counts; fixed, so their size is.
+#: Slots of trigrams: two trigrams of one slot are one pivot, which can only add candidates. Fixed, so the counts' size is.
 SLOTS = 1 << 19
-#: A word in at most so many records makes a region by itself; so many of a record's words may.
-ALONE, ALONE_WORDS = 300, 6
-#: Of a record's more common words the rarest so many are combined in pairs; a pair that expects more rows than this has a region all the same.
-COMBINED, EXPECTED = 3, 300
-#: Rows of a region that one task takes; larger regions are cut into pairs of chunks.
-CHUNK = 20_000
-#: Share of the records looked at to find regions larger than that.
-LOOKED_AT = 0.01
+#: Slots in which split regions are marked. Fixed; a region marked for another is split as well, and loses nothing.
+MARKS = 1 << 20
+#: Records of a region that are compared in one task; larger regions are split.
+HOT = 50_000
+#: Splits by further pivots before chunks.
+LEVELS = 3
+#: Rows of regions that a task takes at once.
+BUCKET = 500_000
 
 
 def normal_text(fields: list[Column | str]) -> Column:
@@ -45,103 +47,248 @@ def trigrams(text: str) -> frozenset[str]:
     return frozenset(map("".join, zip(text, text[1:], text[2:])))
 
 
-def _bitmaps(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two words of 64 bits of every text, a bit for each of its trigrams, and how many distinct ones it has."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """owner, number of every distinct trigram of every text (in order of owner), and each text's count of them."""
     lengths = np.array([len(t) for t in texts], np.int64)
-    points = np.frombuffer(("".join(texts) + "  ").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    mixed = (points[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (points[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (points[2:] * np.uint64(0x165667B19E3779F9))
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    bit = (mixed >> np.uint64(57)).astype(np.uint64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    own = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
+    if len(points) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    inside = own[2:] == own[:-2]
+    gram = ((points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:])[inside]  # code points have 21 bits
+    own = own[:-2][inside]
+    if points.max() < 1 << 16 and len(texts) < 1 << 15:
+        gram = (gram & np.uint64(0xFFFF)) | (gram >> np.uint64(21) & np.uint64(0xFFFF)) << np.uint64(16) | (gram >> np.uint64(42)) << np.uint64(32)
+        both = np.sort(own.astype(np.uint64) << np.uint64(48) | gram)
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+        own, gram = (both >> np.uint64(48)).astype(np.int64), both & np.uint64((1 << 48) - 1)
+        gram = (gram & np.uint64(0xFFFF)) | (gram >> np.uint64(16) & np.uint64(0xFFFF)) << np.uint64(21) | (gram >> np.uint64(32)) << np.uint64(42)
+    else:
+        order = np.lexsort((gram, own))
+        own, gram = own[order], gram[order]
+        new = np.r_[True, (own[1:] != own[:-1]) | (gram[1:] != gram[:-1])]
+        own, gram = own[new], gram[new]
+    return own, gram, np.bincount(own, minlength=len(texts))
+
+
+def _bits(own: np.ndarray, mixed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of 64 bits of every text, a bit for each of its trigrams."""
+    bit = mixed >> np.uint64(57)
     one = np.uint64(1) << (bit & np.uint64(63))
-    starts = np.cumsum(lengths) - lengths
-    inside = np.ones(len(mixed), bool)  # places whose trigram would reach into the next text
-    ends = np.cumsum(lengths)
-    for back in (1, 2):
-        at = ends - back
-        inside[at[(lengths >= back)]] = False
-    one[~inside] = 0
-    low, high = np.where(bit < 64, one, 0), np.where(bit < 64, 0, one)
-    filled = lengths > 0
-    out = np.zeros((2, len(texts)), np.uint64)
-    if filled.any():
-        out[0, filled] = np.bitwise_or.reduceat(low, starts[filled])
-        out[1, filled] = np.bitwise_or.reduceat(high, starts[filled])
-    return out[0].view(np.int64), out[1].view(np.int64), np.array([len(set(zip(t, t[1:], t[2:]))) for t in texts], np.int64)
+    out = np.zeros((2, n), np.uint64)
+    if len(own):
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[0, own[first]] = np.bitwise_or.reduceat(np.where(bit < 64, one, 0), first)
+        out[1, own[first]] = np.bitwise_or.reduceat(np.where(bit < 64, 0, one), first)
+    return out[0], out[1]
+
+
+def bitmaps(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    own, gram, _ = gram_sets(texts)
+    low, high = _bits(own, _mixed(gram), len(texts))
+    return low.view(np.int64), high.view(np.int64)
+
+
+def _slots_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(SLOTS, np.int64)
+    for b in batches:
+        own, gram, _ = gram_sets(b.column(0).to_pylist())
+        slot = (_mixed(gram) & np.uint64(SLOTS - 1)).astype(np.int64)
+        both = np.unique(own * SLOTS + slot)
+        seen += np.bincount(both % SLOTS, minlength=SLOTS)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["slot", "n"])
+
+
+#: What a row of a region holds: the region, the number of distinct trigrams, how many of the record's nearer pivots are not shared, the chunk's side, the bitmap.
+_FIELDS = (("region", np.uint32), ("size", np.uint32), ("pos", np.uint32), ("side", np.uint8), ("low", np.uint64), ("high", np.uint64))
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns one after the other, each byte by byte of its numbers, so that what is alike lies together."""
+    return b"".join(c.astype(t).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, (_, t) in zip(columns, _FIELDS))
+
+
+def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    width = sum(np.dtype(t).itemsize for _, t in _FIELDS)
+    out: list[list[np.ndarray]] = [[] for _ in _FIELDS]
+    for x in blobs:
+        n, at = len(x) // width, 0
+        for k, (_, t) in enumerate(_FIELDS):
+            w = np.dtype(t).itemsize
+            out[k].append(np.ascontiguousarray(np.frombuffer(x, np.uint8, n * w, at).reshape(w, n).T).view(t).ravel())
+            at += n * w
+    return [np.concatenate(x) if x else np.zeros(0, t) for x, (_, t) in zip(out, _FIELDS)]
+
+
+def _mark(region: np.ndarray) -> np.ndarray:
+    return (_mixed(region.astype(np.uint64)) & np.uint64(MARKS - 1)).astype(np.int64)
+
+
+def lacking(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """How many trigrams of a set at most are not in one that is similar enough."""
+    return sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64)
+
+
+class Regions:
+    """The regions of a batch of texts; level by level, only those of which all before are marked."""
+
+    def __init__(self, rank: np.ndarray, marks: list[np.ndarray], chunks: np.ndarray | None, threshold: float):
+        self.rank, self.marks, self.chunks, self.threshold = rank, marks, chunks, threshold
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        n, level = len(texts), len(self.marks)
+        own, gram, sizes = gram_sets(texts)
+        mixed = _mixed(gram)
+        low, high = _bits(own, mixed, n)
+        both = np.sort(own.astype(np.uint64) << np.uint64(32) | self.rank[(mixed & np.uint64(SLOTS - 1)).astype(np.int64)])
+        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+        own, token = (both >> np.uint64(32)).astype(np.int64), both & np.uint64((1 << 32) - 1)
+        b = lacking(sizes, self.threshold)
+        have = np.bincount(own, minlength=n)
+        start = np.cumsum(have) - have
+        place = np.arange(len(own)) - start[own]
+        near = place <= b[own] + level
+        own, token, place = own[near], token[near], place[near]
+        if level:  # all records have as many trigrams more in common, so that splits leave sets of a few trigrams whole
+            every = np.tile(np.arange(n), level)
+            ends = np.repeat(np.arange(level), n)
+            some = have[every] + ends <= b[every] + level
+            own, token, place = np.r_[own, every[some]], np.r_[token, np.uint64(1 << 31) + ends[some].astype(np.uint64)], np.r_[place, (have[every] + ends)[some]]
+            order = np.lexsort((place, own))
+            own, token, place = own[order], token[order], place[order]
+        ends = np.searchsorted(own, np.arange(n), "right")
+        keep = place <= b[own]
+        at, region = np.flatnonzero(keep), token[keep].astype(np.uint32)
+        for k, marked in enumerate(self.marks):
+            split = marked[_mark(region)]
+            at, region = at[split], region[split]
+            # the pivots behind, as far as the radius reaches
+            further = np.minimum(ends[own[at]] - at - 1, np.maximum(b[own[at]] + k + 1 - place[at], 0))
+            to = np.repeat(at, further) + 1 + np.arange(further.sum()) - np.repeat(np.cumsum(further) - further, further)
+            region = (_mixed(np.repeat(region, further).astype(np.uint64) << np.uint64(32) | token[to]) >> np.uint64(32)).astype(np.uint32)
+            at = to
+        own, pos = own[at], place[at] - level
+        side = np.full(len(own), 2, np.uint8)
+        if self.chunks is not None:
+            times = self.chunks[_mark(region)]  # none for regions that were compared before
+            row = np.repeat(np.arange(len(own)), times)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            region, own, pos = region[row], own[row], pos[row]
+            mine = (_mixed(low[own] ^ _mixed(high[own])) % times[row].astype(np.uint64)).astype(np.int64)
+            side = np.where(mine == other, 2, np.where(mine < other, 0, 1)).astype(np.uint8)
+            region = (_mixed(region.astype(np.uint64) << np.uint64(32) | (np.minimum(mine, other) << 16 | np.maximum(mine, other)).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        return [region, sizes[own], pos, side, low[own], high[own]]
+
+
+def _regions(rank, marks: list, chunks, threshold: float, buckets: int):
+    """text -> bucket, rows: the rows of all regions of a bucket that a batch of records has."""
+    schema = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Regions(rank.value, [m.value for m in marks], chunks.value if chunks is not None else None, threshold)
+        for b in batches:
+            for at in range(0, b.num_rows, 10_000):
+                columns = make.of(b.column(0).slice(at, 10_000).to_pylist())
+                bucket = (_mixed(columns[0].astype(np.uint64) + np.uint64(7)) % np.uint64(buckets)).astype(np.int32)
+                order = np.lexsort((columns[0], bucket))
+                bucket, columns = bucket[order], [c[order] for c in columns]
+                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+                last = np.r_[first[1:], len(bucket)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([_packed([c[s:e] for c in columns]) for s, e in zip(first, last)], pa.binary())], schema=schema)
 
-def _mix(*parts: np.ndarray) -> np.ndarray:
-    h = np.full(len(parts[0]), 0x243F6A8885A308D3, np.uint64)
-    for p in parts:
-        h = (h ^ p.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(32)
-    return h.view(np.int64)
-
+    return run
 
-_REGION = pa.schema([("region", pa.int64()), ("cid", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("size", pa.int32()), ("ckey", pa.int64()), ("nv", pa.int32()), ("v1", pa.int64()), ("v2", pa.int64()), ("text", pa.string())])
-_REGION_DDL = "region long, cid long, low long, high long, size int, ckey long, nv int, v1 long, v2 long, text string"
 
+def candidates(region: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float, hot: int | None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Row numbers i, j of the pairs of one region that can be similar enough, and the marks (with counts) of regions that are too large.
 
-def _regions(counts, total: int):
-    """cid, ckey, nv, v1, v2, text, words -> a row for each region of the record."""
+    Rows are taken by size. Of two rows of sizes s <= r with p and q nearer pivots unshared, the sets overlap
+    in s - p and in r - q at most, and a similarity of t needs t / (1 + t) of s + r.
+    """
+    share, most = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)
+    starts = np.flatnonzero(np.r_[True, region[1:] != region[:-1]]) if len(region) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(region)].astype(np.int64)
+    out_i, out_j, large = [], [], []
+    s, p = size.astype(np.float64), pos.astype(np.float64)
+    top = np.minimum(s / threshold, (s - p) / share - s) + 1e-6  # sizes of partners at most, of the rows as the smaller one
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        apart = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j])
+        both = s[i] + s[j]
+        ok = (apart <= most * both + 1e-6) & (s[j] <= top[i]) & (s[j] - p[j] >= share * both - 1e-6) & ((side[i] != side[j]) | (side[i] == 2))
+        out_i.append(i[ok])
+        out_j.append(j[ok])
+
+    width = ends - starts
+    few = (width > 1) & (width <= 64)
+    rows = np.concatenate([np.arange(a, b) for a, b in zip(starts[few], ends[few])]) if few.any() else np.zeros(0, np.int64)
+    last, d = np.repeat(ends[few], width[few]), 1
+    while len(rows):
+        inside = rows + d < last
+        rows, last = rows[inside], last[inside]
+        keep(rows, rows + d)
+        d += 1
+    for a, e in zip(starts[width > 64].tolist(), ends[width > 64].tolist()):
+        if hot is not None and e - a > hot:
+            large.append((int(_mark(region[a : a + 1])[0]), e - a))
+            continue
+        # rows of like reach together, the partners of a block by their sizes
+        upto = a + np.searchsorted(s[a:e], top[a:e], "right")
+        reach = np.flatnonzero(upto > np.arange(a, e) + 1)
+        band = pos[a:e][reach] // 3
+        blocks = [g[k : k + 64] + a for g in (reach[band == x] for x in np.unique(band)) for k in range(0, len(g), 64)]
+        for i in blocks:
+            begin, end = int(i[0]) + 1, int(upto[i - a].max())
+            limit = np.minimum(most * (s[i].max() + s[begin:end]) + 1e-6, 255).astype(np.uint8)
+            near = np.bitwise_count(low[i][:, None] ^ low[begin:end][None]) <= limit[None]
+            got = np.flatnonzero(near)
+            if len(got):
+                x, y = i[got // (end - begin)], begin + got % (end - begin)
+                more = y > x
+                keep(x[more], y[more])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(out_i) if out_i else none, np.concatenate(out_j) if out_j else none, large
+
+
+_PAIR = pa.schema([("low_a", pa.int64()), ("high_a", pa.int64()), ("low_b", pa.int64()), ("high_b", pa.int64()), ("mark", pa.int64()), ("n", pa.int64())])
+_PAIR_DDL = "low_a long, high_a long, low_b long, high_b long, mark long, n long"
+
+
+def _compared(threshold: float, hot: int | None):
+    """bucket, rows sorted by bucket -> the pairs of bitmaps to check, and the regions that are too large."""
+
+    def joined(blobs: list[bytes]) -> pa.RecordBatch:
+        columns = _unpacked(blobs)
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        i, j, large = candidates(*columns, threshold, hot)
+        low, high = columns[4].view(np.int64), columns[5].view(np.int64)
+        swap = (low[i] > low[j]) | (low[i] == low[j]) & (high[i] > high[j])
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        pairs = np.unique(np.stack([low[i], high[i], low[j], high[j]], 1), axis=0) if len(i) else np.zeros((0, 4), np.int64)
+        n, none = len(pairs) + len(large), [None] * len(large)
+        cols = [pa.array([*pairs[:, k].tolist(), *none], pa.int64()) for k in range(4)]
+        marks = [pa.array([None] * len(pairs) + [x[k] for x in large], pa.int64()) for k in range(2)]
+        return pa.RecordBatch.from_arrays([*cols, *marks], schema=_PAIR) if n else pa.RecordBatch.from_pylist([], schema=_PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = counts.value
+        last, blobs = None, []
         for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            words = b.column(6)
-            flat = words.flatten().to_numpy()
-            lengths = np.diff(words.offsets.to_numpy())
-            own = np.repeat(np.arange(n), lengths)
-            df = slots[np.mod(flat, SLOTS)].astype(np.int64)
-            some = df > 1  # a word of one record only leads to no other
-            flat, own, df = flat[some], own[some], df[some]
-            order = np.lexsort((flat, df, own))
-            flat, own, df = flat[order], own[order], df[order]
-            regions, rows = [], []
-
-            def ranks(of: np.ndarray) -> np.ndarray:
-                first = np.searchsorted(of, np.arange(n))
-                return np.arange(len(of)) - first[of]
-
-            alone = df <= ALONE
-            keep = alone.copy()
-            keep[alone] = ranks(own[alone]) < ALONE_WORDS
-            regions.append(_mix(flat[keep]))
-            rows.append(own[keep])
-            w, d, o = flat[~alone], df[~alone].astype(float), own[~alone]
-            r = ranks(o)
-            table = np.zeros((n, COMBINED), np.int64)
-            freq = np.full((n, COMBINED), np.nan)
-            for k in range(COMBINED):
-                at = r == k
-                table[o[at], k], freq[o[at], k] = w[at], d[at]
-            for i in range(COMBINED):
-                for j in range(i + 1, COMBINED):
-                    expected = freq[:, i] * freq[:, j] / total
-                    good = np.flatnonzero(expected <= EXPECTED)
-                    regions.append(_mix(table[good, i], table[good, j]))
-                    rows.append(good)
-                    large = expected > EXPECTED
-                    rest = np.flatnonzero(large)  # the large region itself, as no further word need be in common
-                    regions.append(_mix(table[rest, i], table[rest, j]))
-                    rows.append(rest)
-            # a record whose only shared word is a common one: by that word
-            have = np.zeros(n, bool)
-            for x in rows:
-                have[x] = True
-            single = np.flatnonzero(~have & ~np.isnan(freq[:, 0]))
-            regions.append(_mix(table[single, 0]))
-            rows.append(single)
-            low, high, sizes = _bitmaps(b.column(5).to_pylist())
-            region, row = np.concatenate(regions), np.concatenate(rows)
-            take = pa.array(row)
-            c = [b.column(i) for i in range(6)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(region), c[0].take(take), pa.array(low[row]), pa.array(high[row]), pa.array(sizes[row].astype(np.int32)), c[1].take(take), c[2].take(take), c[3].take(take), c[4].take(take), c[5].take(take)], schema=_REGION
-            )
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != last and blobs:
+                    yield joined(blobs)
+                    blobs = []
+                last = k
+                blobs.append(x)
+        if blobs:
+            yield joined(blobs)
 
     return run
 
@@ -150,163 +297,90 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("nva", pa.int32()), ("
 _LINK_DDL = "a long, b long, nva int, nvb int, va1 long, va2 long, vb1 long, vb2 long"
 
 
-class _Region:
-    """The rows of some regions of one task, compared by bitmaps and checked exactly."""
-
-    def __init__(self, rows: pa.Table, threshold: float):
-        f = lambda name: rows.column(name).to_numpy()
-        self.cell, self.cid, self.side = f("cell"), f("cid"), f("side")
-        self.low, self.high = f("low").view(np.uint64), f("high").view(np.uint64)
-        self.sizes = f("size").astype(np.float32)
-        keys = rows.column("ckey")
-        self.keyed, self.key = ~np.asarray(keys.is_null()), keys.fill_null(0).to_numpy()
-        self.nv, self.v1, self.v2 = f("nv"), f("v1"), f("v2")
-        self.text = rows.column("text").combine_chunks() if isinstance(rows.column("text"), pa.ChunkedArray) else rows.column("text")
-        self.threshold = threshold
-        # |x - y| + |y - x| is at most this share of |x| + |y| for a similarity of the threshold
-        self.share = (1 - threshold) / (1 + threshold)
-        self.sets: dict[int, frozenset] = {}
-        self.found: list[tuple[int, int]] = []
-
-    def grams(self, i: int) -> frozenset:
-        s = self.sets.get(i)
-        if s is None:
-            if len(self.sets) > 50_000:
-                self.sets.clear()
-            s = self.sets[i] = trigrams(self.text[i].as_py())
-        return s
-
-    def near(self, i, j) -> np.ndarray:
-        """Whether rows i and j can be linked, by what is known without their texts."""
-        apart = np.bitwise_count(self.low[i] ^ self.low[j]) + np.bitwise_count(self.high[i] ^ self.high[j])
-        ok = apart <= self.share * (self.sizes[i] + self.sizes[j])
-        few = np.flatnonzero(ok)
-        i, j = i[few], j[few]
-        can = np.minimum(self.sizes[i], self.sizes[j]) >= self.threshold * np.maximum(self.sizes[i], self.sizes[j]) - 1e-6
-        can &= ~(self.keyed[i] & self.keyed[j] & (self.key[i] == self.key[j]))
-        can &= ~((self.nv[i] == 1) & (self.nv[j] == 1) & (self.v1[i] == self.v1[j]))
-        can &= (self.cid[i] != self.cid[j]) & ((self.side[i] != self.side[j]) | (self.side[i] == 2))
-        ok[few] = can
-        return ok
-
-    def linked(self, i: int, j: int) -> bool:
-        x, y = self.grams(i), self.grams(j)
-        both = len(x & y)
-        return both > 0 and both >= self.threshold * (len(x) + len(y) - both) - 1e-12
-
-    def check(self, i: np.ndarray, j: np.ndarray) -> None:
-        for x, y in zip(i.tolist(), j.tolist()):
-            if self.linked(x, y):
-                self.found.append((x, y))
-
-    def small(self, starts: np.ndarray, ends: np.ndarray) -> None:
-        """All pairs of small regions at once: rows d places apart, for d = 1, 2, ..."""
-        rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends)]) if len(starts) else np.zeros(0, np.int64)
-        last = np.repeat(ends, ends - starts)
-        d = 1
-        while True:
-            inside = rows + d < last
-            rows, last = rows[inside], last[inside]
-            if not len(rows):
-                return
-            ok = self.near(rows, rows + d)
-            self.check(rows[ok], rows[ok] + d)
-            d += 1
-
-    def large(self, rows: np.ndarray) -> None:
-        """Split by two pivots as long as the windows leave something out; then row by row, skipping rows already joined."""
-        work = [rows]
-        while work:
-            rows = work.pop()
-            if len(rows) > 512:
-                apart = lambda p: (np.bitwise_count(self.low[rows] ^ self.low[p]).astype(np.int32) + np.bitwise_count(self.high[rows] ^ self.high[p]))
-                first = rows[0]
-                second = rows[int(apart(first).argmax())]
-                d1, d2 = apart(first), apart(second)
-                window = 2 * self.share * 2 * self.sizes[rows].max()
-                left, right = rows[d1 - d2 <= window], rows[d2 - d1 <= window]
-                if len(left) + len(right) < 1.5 * len(rows):
-                    work += [left, right]
-                    continue
-            label = np.arange(len(rows))
-            for k in range(len(rows) - 1):
-                rest = rows[k + 1 :]
-                ok = self.near(np.full(len(rest), rows[k]), rest)
-                ok &= (label[k + 1 :] != label[k]) | (self.nv[rows[k]] > 1) | (self.nv[rest] > 1)
-                for m in np.flatnonzero(ok).tolist():
-                    if label[k + 1 + m] == label[k] and self.nv[rows[k]] == 1 and self.nv[rest[m]] == 1:
-                        continue
-                    if self.linked(int(rows[k]), int(rest[m])):
-                        self.found.append((int(rows[k]), int(rest[m])))
-                        if self.nv[rows[k]] == 1 and self.nv[rest[m]] == 1:
-                            label[label == label[k + 1 + m]] = label[k]
-
-    def links(self) -> pa.RecordBatch | None:
-        starts = np.flatnonzero(np.r_[True, self.cell[1:] != self.cell[:-1]]) if len(self.cell) else np.zeros(0, np.int64)
-        ends = np.r_[starts[1:], len(self.cell)]
-        size = ends - starts
-        two = (size > 1) & (size <= 1200)
-        self.small(starts[two], ends[two])
-        for s, e in zip(starts[size > 1200], ends[size > 1200]):
-            self.large(np.arange(s, e))
-        if not self.found:
-            return None
-        i, j = np.array(sorted(set(self.found)), np.int64).T
-        swap = self.cid[i] > self.cid[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.cid[i], self.cid[j], self.nv[i], self.nv[j], self.v1[i], self.v2[i], self.v1[j], self.v2[j])], schema=_LINK)
+def _checked(threshold: float):
+    """Pairs of classes with their texts -> those that are similar enough."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[str, frozenset] = {}
 
-def _joined(threshold: float, rows_at_once: int = 100_000):
-    """Rows sorted by cell -> the links of every cell; cells are kept whole over batches."""
+        def of(t: str) -> frozenset:
+            s = sets.get(t)
+            if s is None:
+                if len(sets) > 20_000:
+                    sets.clear()
+                s = sets[t] = trigrams(t)
+            return s
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        n = 0
         for b in batches:
-            kept.append(b)
-            n += b.num_rows
-            if n < rows_at_once:
-                continue
-            t = pa.Table.from_batches(kept).combine_chunks()
-            cell = t.column("cell").to_numpy()
-            cut = int(np.searchsorted(cell == cell[-1], True)) if cell[0] != cell[-1] else 0
-            if cut:
-                if (out := _Region(t.slice(0, cut).combine_chunks(), threshold).links()) is not None:
-                    yield out
-                t = t.slice(cut).combine_chunks()
-            kept, n = t.to_batches(), t.num_rows if cut else 0
-        if kept:
-            t = pa.Table.from_batches(kept).combine_chunks()
-            if t.num_rows and (out := _Region(t, threshold).links()) is not None:
-                yield out
+            ok = []
+            for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist()):
+                x, y = of(x), of(y)
+                both = len(x & y)
+                ok.append(both > 0 and both >= threshold * (len(x) + len(y) - both) - 1e-12)
+            yield pa.RecordBatch.from_arrays([b.column(f.name).filter(pa.array(ok, pa.bool_())) for f in _LINK], schema=_LINK)
 
     return run
 
 
-def text_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The links a, b between classes of records: cid, ckey, nv, v1, v2, text."""
+def _slot_array(df: DataFrame, key: str, size: int) -> np.ndarray:
+    """Sums of n by slot; at most `size` rows reach the driver."""
+    got = df.groupBy(key).agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, np.int64)
+    out[got[key].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
+
+
+def candidate_pairs(classes: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
+    """low_a, high_a, low_b, high_b: the bitmaps of all pairs of texts that can be similar enough, each once."""
     spark = classes.sparkSession
-    words = classes.select(F.explode(F.array_distinct(F.filter(F.split("text", " "), lambda w: w != ""))).alias("w"))
-    counted = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    slots = np.zeros(SLOTS, np.int32)
-    slots[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**31 - 1)
-    total = max(1, classes.count())
-    hashed = classes.select("cid", "ckey", "nv", "v1", "v2", "text", F.transform(F.array_distinct(F.filter(F.split("text", " "), lambda w: w != "")), lambda w: F.xxhash64(w)).alias("words"))
-    make = _regions(spark.sparkContext.broadcast(slots), total)
-    # at most 1000 of the largest regions, by a look at a share of the records; a miss costs time, never a link
-    hot = hashed.sample(LOOKED_AT, 11).mapInArrow(make, _REGION_DDL).groupBy("region").agg(F.ceil(F.count(F.lit(1)) / LOOKED_AT / CHUNK).cast("int").alias("chunks")).where("chunks > 1").orderBy(F.desc("chunks")).limit(1000)
-    rows = hashed.mapInArrow(make, _REGION_DDL).join(F.broadcast(hot), "region", "left")
-    chunk = F.pmod(F.xxhash64("cid"), F.col("chunks"))
-    rows = rows.withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-    rows = rows.withColumn("chunk", F.when(F.col("chunks").isNull(), F.lit(-1)).otherwise(chunk))
-    rows = rows.withColumn("cell", F.when(F.col("chunks").isNull(), F.col("region")).otherwise(F.xxhash64("region", F.least("chunk", "other"), F.greatest("chunk", "other"))))
-    rows = rows.withColumn("side", F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1))
-    rows = rows.select("cell", "side", "cid", "low", "high", "size", "ckey", "nv", "v1", "v2", "text")
-    return rows.repartition("cell").sortWithinPartitions("cell", "cid").mapInArrow(_joined(threshold), _LINK_DDL).distinct()
-
-
-def near_duplicate_groups(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    texts = classes.select("text")
+    counts = _slot_array(texts.mapInArrow(_slots_seen, "slot long, n long"), "slot", SLOTS)
+    rank = np.empty(SLOTS, np.uint32)
+    rank[np.lexsort((np.arange(SLOTS), counts))] = np.arange(SLOTS, dtype=np.uint32)
+    rank_b = spark.sparkContext.broadcast(rank)
+    # an eighth of the trigrams are nearest pivots of their records, and some more for smaller partners
+    buckets = int(max(spark.sparkContext.defaultParallelism, counts.sum() * 0.26 // BUCKET, 1))
+    marks: list = []
+    found: list[DataFrame] = []
+    chunks = None
+    while True:
+        last = chunks is not None
+        rows = texts.mapInArrow(_regions(rank_b, list(marks), chunks, threshold, buckets), "bucket int, rows binary")
+        rows = rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_compared(threshold, None if last else hot), _PAIR_DDL)
+        rows = staged(rows.distinct(), "candidates")
+        found.append(rows.where("low_a is not null").select("low_a", "high_a", "low_b", "high_b"))
+        if last:
+            break
+        large = rows.where("low_a is null")
+        if not large.limit(1).count():
+            break
+        size = _slot_array(large, "mark", MARKS)
+        if len(marks) < levels:
+            marks.append(spark.sparkContext.broadcast(size > 0))
+        else:
+            chunks = spark.sparkContext.broadcast(np.minimum(-(-size // hot), 1 << 15).astype(np.int64))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct() if len(found) > 1 else out
+
+
+def _bitmapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, bitmaps(b.column("text").to_pylist()))], names=[*b.schema.names, "low", "high"])
+
+
+def text_links(classes: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
+    """The links a, b between classes of records: cid, ckey, nv, v1, v2, text, low, high (bitmaps of the text's trigrams)."""
+    pairs = candidate_pairs(classes, threshold, hot, levels)
+    side = lambda x: classes.select(F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"), F.col("cid").alias(x), F.col("ckey").alias(f"k{x}"), F.col("nv").alias(f"nv{x}"), F.col("v1").alias(f"v{x}1"), F.col("v2").alias(f"v{x}2"), F.col("text").alias(f"t{x}"))
+    both = pairs.join(side("a"), ["low_a", "high_a"]).join(side("b"), ["low_b", "high_b"])
+    both = both.where("a <> b and (ka is null or kb is null or ka <> kb) and not (nva = 1 and nvb = 1 and va1 = vb1) and (low_a <> low_b or high_a <> high_b or a < b)")
+    links = both.select(*[f.name for f in _LINK], "ta", "tb").mapInArrow(_checked(threshold), _LINK_DDL)
+    return links
+
+
+def near_duplicate_groups(records: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
     """record_id, group_id, video, ckey of every record in a group of two or more.
 
     records: record_id, text (normal_text), video (long: records of one are never linked to each other),
@@ -321,8 +395,8 @@ def near_duplicate_groups(records: DataFrame, threshold: float = THRESHOLD) -> D
         .groupBy("cid")
         .agg(F.first("ckey", True).alias("ckey"), F.count_distinct("video").cast("int").alias("nv"), F.min("video").alias("v1"), F.max("video").alias("v2"), F.first("text").alias("text"))
     )
-    classes = staged(classes, "texts")
-    links = staged(text_links(classes, threshold), "links")
+    classes = staged(classes.mapInArrow(_bitmapped, "cid long, ckey long, nv int, v1 long, v2 long, text string, low long, high long"), "texts")
+    links = staged(text_links(classes, threshold, hot, levels), "links")
 
     # A class of three videos or more is one vertex, but for a video that is all its neighbours have; a
     # smaller class has a vertex for each video, as records of one video are not linked.

@@ -76,8 +76,9 @@ def brute_groups(rows, threshold=0.75):
     return {tuple(sorted((rows[i][0], rows[j][0]))) for i, j in itertools.combinations(range(len(rows)), 2) if root(i) == root(j) and apart(i, j)}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3, 4])
-def test_near_duplicates_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot", "levels"), [(1, 50_000, 3), (3, 12, 3), (4, 12, 1), (5, 30, 0)])
+def test_near_duplicates_against_brute_force(spark, seed, hot, levels):
+    """Regions whole, split by further pivots, and split into pairs of chunks give all links."""
     rng = random.Random(seed)
     words = ["".join(rng.choices("abdeiklmnorstu", k=rng.randint(3, 8))) for _ in range(60)]
     base = [" ".join(rng.choices(words, k=rng.randint(4, 9))) for _ in range(25)]
@@ -88,9 +89,9 @@ def test_near_duplicates_against_brute_force(spark, seed):
             k = rng.randrange(len(t))
             t = t[:k] + rng.choice(["", "x", " "]) + t[k + 1 :]
         rows.append((i, t, rng.randrange(60), rng.choice([None, None, rng.randrange(30)])))
-    rows += [(900, "", 1, None), (901, "ab", 2, None), (902, "ab", 3, None)]
+    rows += [(900, "", 1, None), (901, "ab", 2, None), (902, "ab", 3, None), (903, "zzzz", 4, None), (904, "zzzzz", 5, None), (905, "\U0001f3b5 na na \U0001f3b6", 6, None), (906, "\U0001f3b5 na na \U0001f3b6 na", 7, None)]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], "record_id long, text string, video long, ckey long, nv int, cid long")
-    assert {(r.record_a, r.record_b) for r in group_pairs(near_duplicate_groups(df)).collect()} == brute_groups(rows)
+    assert {(r.record_a, r.record_b) for r in group_pairs(near_duplicate_groups(df, hot=hot, levels=levels)).collect()} == brute_groups(rows)
 
 
 def test_near_duplicates_of_common_words_with_one_changed(spark):
