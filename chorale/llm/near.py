@@ -47,23 +47,34 @@ def trigrams(text: str) -> frozenset[str]:
     return frozenset(map("".join, zip(text, text[1:], text[2:])))
 
 
+#: Bits of code points above the first plane in a trigram's number.
+_ASTRAL = np.uint64(sum(0x1F0000 << k for k in (0, 21, 42)))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def gram_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """owner, number of every distinct trigram of every text (in order of owner), and each text's count of them."""
+def _all_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """owner, number of every trigram of every text."""
     lengths = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     own = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
     if len(points) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     inside = own[2:] == own[:-2]
-    gram = ((points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:])[inside]  # code points have 21 bits
-    own = own[:-2][inside]
-    if points.max() < 1 << 16 and len(texts) < 1 << 15:
+    gram = (points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:]  # code points have 21 bits
+    return own[:-2][inside], gram[inside]
+
+
+def gram_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """owner, number of every distinct trigram of every text (in order of owner), and each text's count of them."""
+    own, gram = _all_grams(texts)
+    if not len(own):
+        return own, gram, np.zeros(len(texts), np.int64)
+    if not (gram & _ASTRAL).any() and len(texts) < 1 << 15:
         gram = (gram & np.uint64(0xFFFF)) | (gram >> np.uint64(21) & np.uint64(0xFFFF)) << np.uint64(16) | (gram >> np.uint64(42)) << np.uint64(32)
         both = np.sort(own.astype(np.uint64) << np.uint64(48) | gram)
         both = both[np.r_[True, both[1:] != both[:-1]]]
@@ -96,12 +107,11 @@ def bitmaps(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slots_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often trigrams of a slot stand in the texts; repeats within a text count too, as any order of pivots will do."""
     seen = np.zeros(SLOTS, np.int64)
     for b in batches:
-        own, gram, _ = gram_sets(b.column(0).to_pylist())
-        slot = (_mixed(gram) & np.uint64(SLOTS - 1)).astype(np.int64)
-        both = np.unique(own * SLOTS + slot)
-        seen += np.bincount(both % SLOTS, minlength=SLOTS)
+        _, gram = _all_grams(b.column(0).to_pylist())
+        seen += np.bincount((_mixed(gram) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["slot", "n"])
 
@@ -220,9 +230,12 @@ def candidates(region: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.n
     top = np.minimum(s / threshold, (s - p) / share - s) + 1e-6  # sizes of partners at most, of the rows as the smaller one
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
-        apart = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j])
+        ok = s[j] <= top[i]
+        i, j = i[ok], j[ok]
         both = s[i] + s[j]
-        ok = (apart <= most * both + 1e-6) & (s[j] <= top[i]) & (s[j] - p[j] >= share * both - 1e-6) & ((side[i] != side[j]) | (side[i] == 2))
+        ok = np.bitwise_count(low[i] ^ low[j]) + np.bitwise_count(high[i] ^ high[j]) <= most * both + 1e-6
+        i, j, both = i[ok], j[ok], both[ok]
+        ok = (s[j] - p[j] >= share * both - 1e-6) & ((side[i] != side[j]) | (side[i] == 2))
         out_i.append(i[ok])
         out_j.append(j[ok])
 
@@ -272,11 +285,16 @@ def _compared(threshold: float, hot: int | None):
         low, high = columns[4].view(np.int64), columns[5].view(np.int64)
         swap = (low[i] > low[j]) | (low[i] == low[j]) & (high[i] > high[j])
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        pairs = np.unique(np.stack([low[i], high[i], low[j], high[j]], 1), axis=0) if len(i) else np.zeros((0, 4), np.int64)
-        n, none = len(pairs) + len(large), [None] * len(large)
-        cols = [pa.array([*pairs[:, k].tolist(), *none], pa.int64()) for k in range(4)]
-        marks = [pa.array([None] * len(pairs) + [x[k] for x in large], pa.int64()) for k in range(2)]
-        return pa.RecordBatch.from_arrays([*cols, *marks], schema=_PAIR) if n else pa.RecordBatch.from_pylist([], schema=_PAIR)
+        pairs = [low[i], high[i], low[j], high[j]]
+        if len(i):
+            order = np.lexsort(pairs)
+            pairs = [x[order] for x in pairs]
+            new = np.r_[True, np.any([x[1:] != x[:-1] for x in pairs], axis=0)]
+            pairs = [x[new] for x in pairs]
+        n, m = len(pairs[0]), len(large)
+        cols = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(m, pa.int64())]) for x in pairs]
+        marks = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([x[k] for x in large], pa.int64())]) for k in range(2)]
+        return pa.RecordBatch.from_arrays([*cols, *marks], schema=_PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, blobs = None, []
