@@ -33,6 +33,12 @@ FEATURES = {
 }
 
 NO_ARTIST = ["karaoke", "instrumental", "backing track", "minus one", "mr", "inst", "version", "sing along", "cover", "remix", "quality", "audio", "video"]
+#: What a name can't be as a whole, in three sets: technical terms, kinds of recording, general terms.
+NO_NAME = [
+    ["mp3", "mp4", "wav", "flac", "audio", "video", "hd", "4k", "1080p"],
+    ["karaoke", "instrumental", "backing track", "minus one", "playback"],
+    ["music", "song", "track", "number", "piece", "composition"],
+]
 NO_SONG = ["karaoke", "instrumental", "backing track", "minus one", "mr", "inst"]
 NO_GUEST = [
     "rights holders", "rights holder", "copyright", "all rights reserved", "record label", "music group", "publishing", "records", "entertainment", "distribution", "ltd", "inc", "corp", "llc", "gmbh",

@@ -48,6 +48,13 @@ def valid_artist(c: str) -> Column:
     return (F.length(a) >= 1) & ~F.lower(a).isin(W.NO_ARTIST) & (F.regexp_count(F.col(c), F.lit(r"(?U)\w")) >= F.length(F.col(c)) * 0.2) & (F.length(a) <= 100)
 
 
+def valid_name(c: str) -> Column:
+    """None of the terms of three sets as a whole, not blank, not over 100 characters, three in ten of them letters or digits at least."""
+    a = F.lower(F.trim(F.col(c)))
+    known = [~a.isin(some) for some in W.NO_NAME]
+    return (F.length(a) >= 1) & known[0] & known[1] & known[2] & (F.regexp_count(F.col(c), F.lit(r"(?U)\w")) >= F.length(F.col(c)) * 0.3) & (F.length(F.col(c)) <= 100)
+
+
 def valid_song(c: str) -> Column:
     s = F.trim(F.col(c))
     return F.length(s).between(2, 200) & ~F.lower(s).isin(W.NO_SONG)

@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorale.functions.strings import extracted, script
-from chorale.functions.title_rules import BY_CHANNEL, BY_SCRIPT, CORE, NEEDED, Rule
-from chorale.operators.filters import valid_artist, valid_song
+from chorale.functions.strings import extracted, script, titled
+from chorale.functions.title_rules import BY_CHANNEL, BY_SCRIPT, CORE, NEEDED, SPLITS, Rule
+from chorale.operators.filters import valid_name, valid_song
 
 _FLAGS = "(?iUu)"
 
@@ -26,31 +26,60 @@ def first_rule(title: Column, rules: list[Rule]) -> Column:
     return chain.otherwise(F.lit(None))
 
 
-def _group(title: Column, rule: Column, rules: list[Rule], which: str) -> Column:
+def split_name(text: Column, patterns: list[str], which: str) -> Column:
+    """Artist or song of a text that holds both, by the first pattern that fits."""
+    chain = F
+    for p in patterns:
+        chain = chain.when(text.rlike(_FLAGS + p), F.regexp_extract(text, _FLAGS + p, 1 if which == "artist" else 2))
+    return chain.otherwise(F.lit(None))
+
+
+def _group(title: Column, rule: Column, rules: list[Rule], which: str, whole: str) -> Column:
     chain = F
     for name, pattern, artist, song, _ in rules:
-        groups = artist if which == "artist" else (song,)
+        if name in SPLITS:
+            chain = chain.when(rule == name, split_name(F.col(whole), SPLITS[name], which))
+            continue
+        groups = artist if which == "artist" else (song,) if song else ()
         parts = [F.regexp_extract(title, _FLAGS + pattern, g) for g in groups]
         chain = chain.when(rule == name, parts[0] if len(parts) == 1 else F.concat_ws(" ", *parts) if parts else F.lit(None).cast("string"))
     return chain.otherwise(F.lit(None))
 
 
-def parsed(df: DataFrame, rules: list[Rule], title: str = "title", prefix: str = "") -> DataFrame:
-    """df with rule, artist, song and confidence of the first rule that fits: the rule's own with both parts valid, 0.7 of it with one."""
+def parsed(df: DataFrame, rules: list[Rule], title: str = "title", prefix: str = "", clean=extracted, artist_ok=valid_name, partial: float = 0.7) -> DataFrame:
+    """df with rule, artist, song and confidence of the first rule that fits: the rule's own with both parts valid, `partial` of it with one.
+
+    `clean` is applied to what the groups hold, `artist_ok` tells whether the name of a column is an artist's.
+    """
     t, names = F.col(title), [f"{prefix}{c}" for c in ("rule", "artist", "song", "confidence")]
     rule, artist, song, conf = names
     df = df.withColumn(rule, first_rule(t, rules))
-    df = df.withColumns({artist: extracted(_group(t, F.col(rule), rules, "artist")), song: extracted(_group(t, F.col(rule), rules, "song"))})
-    df = df.withColumns({artist: F.when(valid_artist(artist), F.col(artist)), song: F.when(valid_song(song), F.col(song))})
+    whole, split = f"{prefix}whole", [r for r in rules if r[0] in SPLITS]
+    for name, pattern, *_ in split:  # what is cut a second time, cleaned once
+        df = df.withColumn(whole, F.when(F.col(rule) == name, F.regexp_extract(t, _FLAGS + pattern, 1)))
+        df = df.withColumn(whole, clean(F.col(whole)))
+    # groups first, then their cleaning: each is a column of its own, as cleaning refers to it several times
+    df = df.withColumns({artist: _group(t, F.col(rule), rules, "artist", whole), song: _group(t, F.col(rule), rules, "song", whole)})
+    if split:
+        was_split = F.col(rule).isin([r[0] for r in split])
+        df = df.drop(whole).withColumns({c: F.when(was_split, titled(c)).otherwise(F.col(c)) for c in (artist, song)})
+    df = df.withColumns({artist: clean(F.col(artist)), song: clean(F.col(song))})
+    df = df.withColumns({artist: F.when(artist_ok(artist), F.col(artist)), song: F.when(valid_song(song), F.col(song))})
     base = F
     for name, *_, c in rules:
         base = base.when(F.col(rule) == name, F.lit(c))
     have = F.col(artist).isNotNull().cast("int") + F.col(song).isNotNull().cast("int")
-    return df.withColumn(conf, F.round(base.otherwise(0.0) * F.when(have == 2, 1.0).when(have == 1, 0.7).otherwise(0.0), 4))
+    return df.withColumn(conf, F.round(base.otherwise(0.0) * F.when(have == 2, 1.0).when(have == 1, partial).otherwise(0.0), 4))
 
 
 def channel_rules(channel: str = "channel_name") -> list[tuple[Column, list[Rule]]]:
-    return [(F.lower(F.coalesce(F.col(channel), F.lit(""))).contains(word), rules) for word, rules in BY_CHANNEL]
+    """Whether a channel is of a kind, and that kind's rules; a channel is of the first kind its name matches."""
+    name, before, out = F.lower(F.coalesce(F.col(channel), F.lit(""))), F.lit(False), []
+    for _, pattern, rules in BY_CHANNEL:
+        fits = name.rlike(pattern)
+        out.append((fits & ~before, rules))
+        before = before | fits
+    return out
 
 
 def ladder(df: DataFrame, title: str = "title", channel: str = "channel_name") -> DataFrame:

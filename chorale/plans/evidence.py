@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 from chorale.functions import evidence as E
 from chorale.functions import strings as T
 from chorale.functions import words as W
-from chorale.functions.title_rules import BY_CHANNEL
 from chorale.operators import filters as L
-from chorale.operators.parsing import parsed
-from chorale.plans.parse import _parsed_sql
 from chorale.plans.scores import _any
 from chorale.plans.shared import Query, register
 from chorale.plans.similar import _ascii
@@ -69,18 +66,6 @@ def prj11_parsing_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "videos").select("record_id", F.when(F.col("genre").isNotNull() | F.col("release_year").isNotNull(), F.to_json(keep)).alias("metadata"))
 
 
-def par09_plain_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Titles by the rules of channels named after 'by', for every title."""
-    return parsed(table(spark, d, "videos").select("record_id", "title"), BY_CHANNEL[0][1]).drop("title")
-
-
-def jn16_rules_by_channel(spark: SparkSession, d: str) -> DataFrame:
-    """The rules that a channel's name brings in: the rule table is a handful of rows."""
-    rules = spark.createDataFrame([(word, r[0], r[4]) for word, rs in BY_CHANNEL for r in rs], "word string, rule string, confidence double")
-    v = table(spark, d, "videos").where("channel_name is not null").select("channel_name").distinct()
-    return v.join(F.broadcast(rules), F.lower("channel_name").contains(F.col("word"))).select("channel_name", "rule", "confidence")
-
-
 def jn15_artist_variants(spark: SparkSession, d: str) -> DataFrame:
     """Releases of an artist whose telling words equal those of a video's artist, other than by spelling."""
     v = table(spark, d, "videos").where("artist <> ''").select(T.plain_ascii("artist").alias("a")).distinct().withColumn("k", T.artist_key("a"))
@@ -116,33 +101,26 @@ def scr20_validated(spark: SparkSession, d: str) -> DataFrame:
     return e.select("record_id", "release_record", F.round(score, 6).alias("score"), valid.alias("valid"))
 
 
-QUERIES |= {f.__name__: f for f in (prj07_merged_maps, prj11_parsing_json, par09_plain_parse, jn15_artist_variants, jn16_rules_by_channel, scr14_search_confidence, scr15_mismatch, scr16_title_check, scr20_validated)}
+QUERIES |= {f.__name__: f for f in (prj07_merged_maps, prj11_parsing_json, jn15_artist_variants, scr14_search_confidence, scr15_mismatch, scr16_title_check, scr20_validated)}
 _key = lambda x: f"array_to_string([w FOR w IN regexp_split_to_array(regexp_replace(lower({x}), '[^{_WORD}{_SPACE}]', '', 'g'), '[{_SPACE}]+') IF w <> '' AND w NOT IN {_list(T.STOP_WORDS)}], ' ')"
 ORACLE |= {
     "prj07_merged_maps": "SELECT record_id, coalesce(nullif(v.channel_name, ''), c.known) AS channel, nullif(genre, '') AS genre, 1 + (coalesce(nullif(v.channel_name, ''), c.known) IS NOT NULL)::INT + (genre <> '' AND genre IS NOT NULL)::INT AS n_keys FROM videos v LEFT JOIN (SELECT channel_id, max(channel_name) AS known FROM channels WHERE channel_id IS NOT NULL GROUP BY 1) c ON v.channel_id = c.channel_id",
-    "par09_plain_parse": f"SELECT record_id, rule, artist, song, confidence FROM ({_parsed_sql(BY_CHANNEL[0][1])})",
     "jn15_artist_variants": f"SELECT a, b FROM (SELECT a, {_key('a')} AS k FROM (SELECT DISTINCT {_ascii('artist')} AS a FROM videos WHERE artist <> '')) x JOIN (SELECT b, {_key('b')} AS k FROM (SELECT DISTINCT {_ascii('artist_name')} AS b FROM discogs_data WHERE artist_name <> '')) y USING (k) WHERE k <> '' AND a <> b",
-    "jn16_rules_by_channel": "SELECT channel_name, rule, confidence::DOUBLE AS confidence FROM (SELECT DISTINCT channel_name FROM videos WHERE channel_name IS NOT NULL) v JOIN (VALUES " + ", ".join(f"({q(word)}, {q(r[0])}, {r[4]})" for word, rs in BY_CHANNEL for r in rs) + ") r(word, rule, confidence) ON contains(lower(channel_name), word)",
 }
 
 register(
     QUERIES,
     ORACLE,
     {
-        "flt16_over_budget": "SELECT user_id, used > 1500 AS over_budget FROM (SELECT user_id, sum(CAST(value AS DECIMAL(18, 4))) AS used FROM {events} GROUP BY user_id) u",
-        "flt19_karaoke_context": "SELECT record_id FROM {videos} WHERE lower(channel_name) LIKE '%karaoke%' OR lower(channel_name) LIKE '%sing%' OR lower(channel_name) LIKE '%backing%' OR lower(channel_name) LIKE '%instrumental%' OR lower(channel_name) LIKE '%piano%'",
+            "flt19_karaoke_context": "SELECT record_id FROM {videos} WHERE lower(channel_name) LIKE '%karaoke%' OR lower(channel_name) LIKE '%sing%' OR lower(channel_name) LIKE '%backing%' OR lower(channel_name) LIKE '%instrumental%' OR lower(channel_name) LIKE '%piano%'",
         "mig10_touched": "SELECT record_id, greatest(scraped_at, coalesce(deleted_at, scraped_at)) AS updated_at FROM {videos} WHERE scraped_at IS NOT NULL",
         "mig11_added_columns": "SELECT record_id, video_id, CAST(NULL AS VARCHAR(64)) AS musicbrainz_id, CAST(0 AS INT) AS web_search_performed FROM {videos}",
-        "agg21_provider_stats": "SELECT source, count(*) AS searches, round(avg(CASE WHEN n_chars > 200 THEN 1e0 ELSE 0e0 END), 6) AS success_rate, round(avg(n_chars), 4) AS avg_results FROM {documents} GROUP BY source",
-        "scr06_details": "SELECT record_id, title <> '' AS has_title, coalesce(length(title), 0) AS title_length, coalesce(length(description), 0) AS description_length, duration_seconds / 60.0e0 AS minutes FROM {videos}",
-        "scr13_points": "SELECT v.record_id, g.record_id AS release_record, CASE WHEN lower(v.artist) = lower(g.artist_name) THEN 50 ELSE 0 END + CASE WHEN lower(v.song_title) = lower(g.song_title) THEN 50 ELSE 0 END + CASE WHEN g.styles IS NOT NULL THEN 5 ELSE 0 END AS points FROM {videos} v JOIN {discogs_data} g ON v.video_id = g.video_id",
-        "scr17_adjusted": "SELECT record_id, round(greatest(0e0, least(1.5e0, 1e0 + CASE WHEN confidence > 0.9 THEN 0.3e0 WHEN confidence < 0.5 THEN -0.2e0 ELSE 0e0 END)), 4) AS factor FROM {discogs_data} WHERE confidence BETWEEN 0 AND 1",
-        "scr19_prototype": "SELECT record_id, round(least(1e0, 0.5e0 + CASE WHEN year IS NOT NULL THEN 0.1e0 ELSE 0e0 END + CASE WHEN genres IS NOT NULL THEN 0.1e0 ELSE 0e0 END + CASE WHEN styles IS NOT NULL THEN 0.1e0 ELSE 0e0 END + CASE WHEN label IS NOT NULL THEN 0.1e0 ELSE 0e0 END + CASE WHEN master_id IS NOT NULL THEN 0.1e0 ELSE 0e0 END), 6) AS confidence FROM {discogs_data}",
+            "scr06_details": "SELECT record_id, title <> '' AS has_title, coalesce(length(title), 0) AS title_length, coalesce(length(description), 0) AS description_length, duration_seconds / 60.0e0 AS minutes FROM {videos}",
+                "scr19_prototype": "SELECT record_id, round(least(1e0, 0.5e0 + CASE WHEN year IS NOT NULL THEN 0.1e0 ELSE 0e0 END + CASE WHEN genres IS NOT NULL THEN 0.1e0 ELSE 0e0 END + CASE WHEN styles IS NOT NULL THEN 0.1e0 ELSE 0e0 END + CASE WHEN label IS NOT NULL THEN 0.1e0 ELSE 0e0 END + CASE WHEN master_id IS NOT NULL THEN 0.1e0 ELSE 0e0 END), 6) AS confidence FROM {discogs_data}",
         "par08_description_boost": "SELECT record_id, round(CASE WHEN parse_confidence BETWEEN 0 AND 1 THEN parse_confidence END * CASE WHEN instr(lower(description), lower(artist)) > 0 THEN 1.1e0 ELSE 1e0 END * CASE WHEN instr(lower(description), lower(song_title)) > 0 THEN 1.1e0 ELSE 1e0 END, 6) AS boosted FROM {videos} WHERE artist <> '' AND song_title <> ''",
         "par18_enriched": """
             SELECT v.record_id, coalesce(nullif(v.genre, ''), g.styles) AS genre, CASE WHEN nullif(v.genre, '') IS NULL AND g.styles IS NOT NULL THEN round(least(0.95e0, 1.1e0 * v.parse_confidence), 6) ELSE v.parse_confidence END AS confidence FROM (SELECT * FROM {videos} WHERE parse_confidence BETWEEN 0 AND 1) v LEFT JOIN (
               SELECT video_id, styles FROM (SELECT video_id, styles, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC NULLS LAST, record_id) AS rn FROM {discogs_data} WHERE video_id IS NOT NULL AND styles IS NOT NULL) x WHERE rn = 1) g ON v.video_id = g.video_id""",
         "par20_kept_artist": "SELECT v.record_id, CASE WHEN length(v.artist) - length(replace(v.artist, '&', '')) > length(g.artist_name) - length(replace(g.artist_name, '&', '')) THEN v.artist ELSE g.artist_name END AS artist, g.record_id AS release_record FROM {videos} v JOIN {discogs_data} g ON v.video_id = g.video_id WHERE v.artist <> '' AND g.artist_name <> ''",
-        "top13_unique_guests": "SELECT channel_id, count(DISTINCT featured_artists) AS different FROM {videos} WHERE featured_artists <> '' AND channel_id IS NOT NULL GROUP BY channel_id",
-    },
+        },
 )

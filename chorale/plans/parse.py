@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from chorale.functions import strings as T
 from chorale.functions import words as W
-from chorale.functions.title_rules import BY_CHANNEL, CORE, Rule
+from chorale.functions.title_rules import BY_CHANNEL, CORE, SPLITS, Rule
 from chorale.operators.parsing import ladder, parsed
 from chorale.plans.shared import Query
 from chorale.plans.stage import staged
-from chorale.plans.texts import _extracted, _struct_sql, q, re2
+from chorale.plans.texts import _extracted, _struct_sql, _title_case, q, re2
 from chorale.sources.tables import spread, table
 
 QUERIES: dict[str, Query] = {}
@@ -21,21 +21,29 @@ ORACLE: dict[str, str] = {}
 def _sql_group(rules: list[Rule], which: str) -> str:
     out = "CASE rule"
     for name, pattern, artist, song, _ in rules:
-        parts = [f"regexp_extract(title, {q(re2(pattern))}, {g}, 'i')" for g in (artist if which == "artist" else (song,))]
+        if name in SPLITS:
+            g = 1 if which == "artist" else 2
+            cases = " ".join(f"WHEN regexp_matches(x, {q(re2(p))}, 'i') THEN (SELECT {_title_case('y')} FROM (SELECT regexp_extract(x, {q(re2(p))}, {g}, 'i') AS y))" for p in SPLITS[name])
+            one = f"regexp_extract(title, {q(re2(pattern))}, 1, 'i')"
+            out += f" WHEN '{name}' THEN (SELECT CASE {cases} END FROM (SELECT {_extracted(one)} AS x))"
+            continue
+        parts = [f"regexp_extract(title, {q(re2(pattern))}, {g}, 'i')" for g in (artist if which == "artist" else (song,) if song else ())]
         out += f" WHEN '{name}' THEN {' || {} || '.format(q(' ')).join(parts) if parts else 'NULL'}"
     return out + " END"
 
 
-_ok_artist = f"length(trim(artist, ' ')) BETWEEN 1 AND 100 AND lower(trim(artist, ' ')) NOT IN ({', '.join(map(q, W.NO_ARTIST))}) AND len(regexp_extract_all(artist, '[\\pL\\pM\\p{{Nd}}\\p{{Pc}}\\p{{Nl}}\\x{{200C}}\\x{{200D}}]')) >= length(artist) * 0.2".replace("{{", "{").replace("}}", "}")
+_words_in = "len(regexp_extract_all(artist, '[\\pL\\pM\\p{Nd}\\p{Pc}\\p{Nl}\\x{200C}\\x{200D}]'))"
+_ok_plain = f"length(trim(artist, ' ')) BETWEEN 1 AND 100 AND lower(trim(artist, ' ')) NOT IN ({', '.join(map(q, W.NO_ARTIST))}) AND {_words_in} >= length(artist) * 0.2"
+_ok_artist = f"length(trim(artist, ' ')) >= 1 AND length(artist) <= 100 AND lower(trim(artist, ' ')) NOT IN ({', '.join(q(w) for some in W.NO_NAME for w in some)}) AND {_words_in} >= length(artist) * 0.3"
 _ok_song = f"length(trim(song, ' ')) BETWEEN 2 AND 200 AND lower(trim(song, ' ')) NOT IN ({', '.join(map(q, W.NO_SONG))})"
 
 
-def _parsed_sql(rules: list[Rule], source: str = "videos") -> str:
+def _parsed_sql(rules: list[Rule], source: str = "videos", clean=_extracted, artist_ok: str = _ok_artist, partial: float = 0.7) -> str:
     first = "CASE " + " ".join(f"WHEN regexp_matches(title, {q(re2(p))}, 'i') THEN '{n}'" for n, p, *_ in rules) + " END"
     conf = "CASE rule " + " ".join(f"WHEN '{n}' THEN {c}" for n, *_, c in rules) + " ELSE 0 END"
-    return f"""SELECT record_id, channel_name, rule, artist, song, round({conf} * CASE WHEN artist IS NOT NULL AND song IS NOT NULL THEN 1.0 WHEN artist IS NOT NULL OR song IS NOT NULL THEN 0.7 ELSE 0 END, 4)::DOUBLE AS confidence FROM (
-SELECT record_id, channel_name, rule, CASE WHEN {_ok_artist} THEN artist END AS artist, CASE WHEN {_ok_song} THEN song END AS song FROM (
-SELECT record_id, channel_name, rule, {_extracted('a0')} AS artist, {_extracted('s0')} AS song FROM (
+    return f"""SELECT record_id, channel_name, rule, artist, song, round({conf} * CASE WHEN artist IS NOT NULL AND song IS NOT NULL THEN 1.0 WHEN artist IS NOT NULL OR song IS NOT NULL THEN {partial} ELSE 0 END, 4)::DOUBLE AS confidence FROM (
+SELECT record_id, channel_name, rule, CASE WHEN {artist_ok} THEN artist END AS artist, CASE WHEN {_ok_song} THEN song END AS song FROM (
+SELECT record_id, channel_name, rule, {clean('a0')} AS artist, {clean('s0')} AS song FROM (
 SELECT record_id, channel_name, rule, {_sql_group(rules, 'artist')} AS a0, {_sql_group(rules, 'song')} AS s0 FROM (SELECT record_id, channel_name, title, {first} AS rule FROM {source}))))"""
 
 
@@ -55,7 +63,8 @@ def agg23_rule_statistics(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("artist").isNotNull() & F.col("song").isNotNull()).alias("both"), F.round(F.avg("confidence"), 4).alias("avg_confidence"))
 
 
-_channel_case = [(f"contains(lower(coalesce(channel_name, '')), {q(word)})", rules) for word, rules in BY_CHANNEL]
+_is_kind = [f"regexp_matches(lower(coalesce(channel_name, '')), {q(p)})" for _, p, _ in BY_CHANNEL]
+_channel_case = [(" AND ".join([_is_kind[k], *(f"NOT {c}" for c in _is_kind[:k])]), rules) for k, (_, _, rules) in enumerate(BY_CHANNEL)]
 _join = " ".join(f"LEFT JOIN ({_parsed_sql(r)}) c{k} ON v.record_id = c{k}.record_id" for k, (_, r) in enumerate(_channel_case))
 _pick = lambda c: "CASE " + " ".join(f"WHEN {cond.replace('channel_name', 'v.channel_name')} AND c{k}.confidence > 0.7 THEN c{k}.{c}" for k, (cond, _) in enumerate(_channel_case)) + f" ELSE v.{c} END AS parsed_{c}"
 QUERIES |= {"par02_core_rules": par02_core_rules, "par01_ladder": par01_ladder, "agg23_rule_statistics": agg23_rule_statistics}
@@ -97,36 +106,9 @@ def par13_channel_patterns(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("place", F.row_number().over(Window.partitionBy("channel_id").orderBy(F.desc("n"), "structure"))).where("place <= 10")
 
 
-def par15_pattern_confidence(spark: SparkSession, d: str) -> DataFrame:
-    """Confidence of learned patterns, less with age and failures."""
-    p = par13_channel_patterns(spark, d)
-    age = F.datediff(F.lit("2027-04-01").cast("date"), F.col("last_seen").cast("date"))
-    return p.select("channel_id", "structure", F.round(F.lit(0.8) * F.greatest(F.lit(0.7), 1 - age / 30.0) * (F.col("success") * 0.5 + 0.5), 6).alias("confidence"))
-
-
 _P13 = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, structure) AS place FROM (SELECT channel_id, structure, count(*) AS n, round(avg(CASE WHEN artist <> '' AND song_title <> '' THEN 1.0 ELSE 0.0 END), 6) AS success, max(scraped_at) AS last_seen FROM (SELECT *, {_struct_sql} AS structure FROM videos WHERE channel_id IS NOT NULL) WHERE structure IS NOT NULL GROUP BY 1, 2)) WHERE place <= 10"
-QUERIES |= {"par13_channel_patterns": par13_channel_patterns, "par15_pattern_confidence": par15_pattern_confidence}
-ORACLE |= {
-    "par13_channel_patterns": _P13,
-    "par15_pattern_confidence": f"SELECT channel_id, structure, round(0.8::DOUBLE * greatest(0.7, 1 - date_diff('day', last_seen::DATE, DATE '2027-04-01') / 30.0::DOUBLE) * (success * 0.5 + 0.5), 6) AS confidence FROM ({_P13})",
-}
-
-
-def str08_guests_in_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Names after feat., ft., featuring in a title, in order, each once."""
-    found = F.regexp_extract_all(F.lower("title"), F.lit(r"\b(?:feat\.?|featuring|ft\.?)\s+([^(\[|]+)"), F.lit(1))
-    parts = F.flatten(F.transform(found, lambda x: F.split(x, r"\s*&\s*|\s+and\s+|,\s*")))
-    names = F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x).between(3, 49)))
-    return table(spark, d, "videos").select("record_id", F.array_join(names, ", ").alias("guests")).where("guests <> ''")
-
-
-def str10_search_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Up to seven distinct queries of a title: as a whole, its parts in both orders, and each part."""
-    clean = F.trim(T.chained(F.lower("title"), T.QUERY))
-    parts = F.filter(F.transform(F.split(clean, r"\s+[-–—|]\s+|\s*:\s+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 3)
-    both = F.when(F.size(parts) >= 2, F.array(F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))).otherwise(F.array().cast("array<string>"))
-    queries = F.slice(F.array_distinct(F.concat(F.filter(F.array(clean), lambda x: F.length(x) >= 3), both, parts)), 1, 7)
-    return table(spark, d, "videos").where("title is not null").select("record_id", F.posexplode(queries).alias("pos", "query"))
+QUERIES["par13_channel_patterns"] = par13_channel_patterns
+ORACLE["par13_channel_patterns"] = _P13
 
 
 def str13_artist_variations(spark: SparkSession, d: str) -> DataFrame:
@@ -142,10 +124,9 @@ def str23_quoted_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "videos").select("record_id", F.posexplode(found).alias("pos", "part"))
 
 
-QUERIES |= {"str08_guests_in_titles": str08_guests_in_titles, "str10_search_queries": str10_search_queries, "str13_artist_variations": str13_artist_variations, "str23_quoted_parts": str23_quoted_parts}
+QUERIES |= {"str13_artist_variations": str13_artist_variations, "str23_quoted_parts": str23_quoted_parts}
 
 ORACLE |= {
-    "str08_guests_in_titles": r"SELECT * FROM (SELECT record_id, array_to_string([x FOR x, i IN n IF list_position(n, x) = i AND length(x) BETWEEN 3 AND 49], ', ') AS guests FROM (SELECT record_id, [trim(x, ' ') FOR x IN flatten([regexp_split_to_array(x, '\s*&\s*|\s+and\s+|,\s*') FOR x IN regexp_extract_all(lower(title), '\b(?:feat\.?|featuring|ft\.?)\s+([^(\[|]+)', 1)])] AS n FROM videos)) WHERE guests <> ''",
     "str13_artist_variations": rf"SELECT artist_name, unnest(list_distinct([x FOR x IN [a, trim(regexp_replace(a, '\s*\([^)]*\)', '', 'g'), ' '), replace(a, '&', 'and'), regexp_replace(a, '\band\b', '&', 'g'), replace(a, '$', 'S'), regexp_replace(translate(a, {q(T.MARKED)}, {q(T.PLAIN)}), '[\x{{0300}}-\x{{036f}}]', '', 'g')] IF x <> ''])) AS variation FROM (SELECT DISTINCT artist_name, trim(artist_name, ' ') AS a FROM discogs_data WHERE artist_name <> '')",
     "str23_quoted_parts": "SELECT record_id, (i - 1)::INT AS pos, p[i] AS part FROM (SELECT record_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT record_id, regexp_extract_all(title, '\"([^\"]+)\"', 1) AS p FROM videos))",
 }

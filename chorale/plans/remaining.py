@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from chorale.functions import evidence as E
 from chorale.functions import similarity as S
 from chorale.functions import strings as T
-from chorale.functions.title_rules import BY_CHANNEL, BY_SCRIPT, CORE
-from chorale.operators.parsing import parsed
-from chorale.plans.parse import _parsed_sql
 from chorale.plans.shared import Query, register
 from chorale.plans.similar import ORACLE as SIMILAR_SQL
 from chorale.plans.similar import _PAIRS, _pairs, jn07_best_match
@@ -39,26 +36,6 @@ def st04_limited(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.round(F.greatest(F.lit(0.0), start - (BURST - 1) * gap - F.col("t")), 3).alias("wait_seconds"))
 
 
-def par03_script_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Titles in another script by the rules of that script."""
-    v = table(spark, d, "videos").select("record_id", "title")
-    parts = [parsed(v.where(T.script("title") == name), rules).drop("title") for name, rules in BY_SCRIPT.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def par04_channel_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of channels named after a word by the rules that word brings in."""
-    v = table(spark, d, "videos").select("record_id", "title", "channel_name")
-    word, rules = BY_CHANNEL[1]
-    return parsed(v.where(F.lower("channel_name").contains(word)), rules).drop("title", "channel_name")
-
-
-def par11_rule_table(spark: SparkSession, d: str) -> DataFrame:
-    """The rules as a table: set, place, name, confidence."""
-    sets = [("core", CORE), *[(f"script:{k}", r) for k, r in BY_SCRIPT.items()], *[(f"channel:{k}", r) for k, r in BY_CHANNEL]]
-    return spark.createDataFrame([(s, i, r[0], r[4]) for s, rules in sets for i, r in enumerate(rules)], "rule_set string, place int, rule string, confidence double")
-
-
 def par16_staged_names(spark: SparkSession, d: str) -> DataFrame:
     """Release artists by the first stage that finds them among video artists: equal, alike, none. Only what is left goes on."""
     names = table(spark, d, "discogs_data").select(T.plain_ascii("artist_name").alias("query")).where("query <> ''").distinct()
@@ -94,13 +71,12 @@ def jn06_columns(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string, type string, place int")
 
 
-QUERIES |= {f.__name__: f for f in (st04_limited, par03_script_rules, par04_channel_rules, par11_rule_table, par16_staged_names, sim04_combined, sim08_variants, num05_cosine_to_first, jn06_columns)}
+QUERIES |= {f.__name__: f for f in (st04_limited, par16_staged_names, sim04_combined, sim08_variants, num05_cosine_to_first, jn06_columns)}
 _gap = 60.0 * 60.0 / PER_MINUTE
 _wd = "PARTITION BY user_id ORDER BY ts, event_id"
 _with_b = SIMILAR_SQL["jn07_best_match"].split(" SELECT query, candidate, score FROM (SELECT *, row_number()")[0]
 ORACLE |= {
     "st04_limited": f"SELECT event_id, round(greatest(0.0::DOUBLE, s - {(BURST - 1) * _gap}::DOUBLE - t), 3) AS wait_seconds FROM (SELECT event_id, t, max(t - k * {_gap}::DOUBLE) OVER ({_wd} ROWS UNBOUNDED PRECEDING) + k * {_gap}::DOUBLE AS s FROM (SELECT event_id, user_id, ts, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER ({_wd}) - 1 AS k FROM events))",
-    "par04_channel_rules": f"SELECT p.record_id, rule, artist, song, confidence FROM ({_parsed_sql(BY_CHANNEL[1][1])}) p WHERE contains(lower(channel_name), {q(BY_CHANNEL[1][0])})",
     "par16_staged_names": f"{_with_b}, n AS (SELECT DISTINCT {{0}} AS query FROM discogs_data) SELECT query, CASE WHEN lower(query) IN (SELECT lower({{1}}) FROM videos WHERE artist IS NOT NULL) THEN 'equal' WHEN query IN (SELECT query FROM b) THEN 'alike' ELSE 'none' END AS stage FROM n WHERE query <> ''",
     "sim08_variants": f"WITH {_PAIRS} SELECT a, b, x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x)) AS variant FROM (SELECT a, b, {_key('a')} AS x, {_key('b')} AS y FROM pairs)",
     "num05_cosine_to_first": "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], f::DOUBLE[]), 5) AS cosine FROM embeddings JOIN (SELECT label, arg_min(embedding, vec_id) AS f FROM embeddings GROUP BY 1) USING (label)",
@@ -119,12 +95,8 @@ register(
     QUERIES,
     ORACLE,
     {
-        "st07_live_entries": "SELECT channel_id, record_id FROM (SELECT channel_id, record_id, scraped_at, row_number() OVER (PARTITION BY channel_id ORDER BY scraped_at DESC, record_id DESC) AS rn FROM {videos} WHERE channel_id IS NOT NULL) x WHERE rn <= 20 AND scraped_at >= TIMESTAMP '2024-01-01 00:00:00'",
-        "par07_by_split": "SELECT record_id, trim(substring(title, 1, instr(lower(title), ' by ') - 1)) AS left_part, length(title) - instr(lower(title), ' by ') AS right_length FROM {videos} WHERE instr(lower(title), ' by ') > 0",
-        "par12_template_factor": "SELECT channel_id, record_id, CASE WHEN parse_confidence BETWEEN 0 AND 1 THEN parse_confidence END AS confidence, count(*) OVER (PARTITION BY channel_id) AS titles, count(CASE WHEN artist <> '' AND song_title <> '' THEN 1 END) OVER (PARTITION BY channel_id) AS parsed FROM {videos} WHERE channel_id IS NOT NULL",
         "orc18_summary": "SELECT event_type, 'calls ' || CAST(n AS VARCHAR(20)) || ', users ' || CAST(u AS VARCHAR(20)) AS summary FROM (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS u FROM {events} GROUP BY event_type) e",
         "orc20_first_channels": "SELECT channel_id, channel_name FROM (SELECT channel_id, max(channel_name) AS channel_name FROM {channels} WHERE channel_id IS NOT NULL GROUP BY channel_id) c ORDER BY channel_name NULLS LAST, channel_id LIMIT 10",
-        "orc03_sorted_hits": "SELECT video_id, max(view_count) AS view_count FROM {videos} WHERE url LIKE '%watch?v=%' AND video_id IS NOT NULL GROUP BY video_id",
         "par19_release_ladder": "SELECT video_id, record_id, confidence FROM (SELECT video_id, record_id, confidence, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, record_id) AS rn, count(*) OVER (PARTITION BY video_id) AS n FROM {discogs_data} WHERE video_id IS NOT NULL AND confidence BETWEEN 0.3 AND 1) x WHERE rn = 1 AND (n <= 3 OR confidence >= 0.6)",
     },
 )

@@ -79,7 +79,7 @@ _add("flt01_likely_karaoke", None, L.likely_karaoke, f"SELECT record_id FROM vid
 _add("flt02_plausible_duration", None, L.plausible_duration, "SELECT record_id FROM videos WHERE coalesce(duration_seconds, 0) = 0 OR duration_seconds BETWEEN 45 AND 900", "Durations of 45 to 900 seconds or none.")
 _add("flt04_channel_limits", None, L.within_channel_limits, f"SELECT record_id FROM videos WHERE duration_seconds BETWEEN {_first(_c, W.DURATIONS, 0, W.DURATION_ELSE[0])} AND {_first(_c, W.DURATIONS, 1, W.DURATION_ELSE[1])}", "Durations within the limits of the channel's kind.")
 _add("flt05_uploaded_after", None, lambda: L.uploaded_after("2021-06-30"), f"SELECT record_id FROM videos WHERE {_day} IS NULL OR {_day} > DATE '2021-06-30'", "Uploads after a day; unreadable dates pass.")
-_add("flt06_valid_artist", None, lambda: L.valid_artist("artist"), f"SELECT record_id FROM videos WHERE length(trim(artist)) BETWEEN 1 AND 100 AND lower(trim(artist)) NOT IN ({', '.join(map(_q, W.NO_ARTIST))}) AND len(regexp_extract_all(artist, '[\\pL\\pM\\p{{Nd}}\\p{{Pc}}\\p{{Nl}}\\x{{200C}}\\x{{200D}}]')) >= length(artist) * 0.2".replace("{{", "{").replace("}}", "}"), "Artists that look like names.")
+_add("flt06_valid_artist", None, lambda: L.valid_name("artist"), f"SELECT record_id FROM videos WHERE length(trim(artist)) >= 1 AND length(artist) <= 100 AND lower(trim(artist)) NOT IN ({', '.join(_q(w) for some in W.NO_NAME for w in some)}) AND len(regexp_extract_all(artist, '[\\pL\\pM\\p{{Nd}}\\p{{Pc}}\\p{{Nl}}\\x{{200C}}\\x{{200D}}]')) >= length(artist) * 0.3".replace("{{", "{").replace("}}", "}"), "Artists that look like names, by the stricter test.")
 _add("flt07_valid_song", None, lambda: L.valid_song("song_title"), f"SELECT record_id FROM videos WHERE length(trim(song_title)) BETWEEN 2 AND 200 AND lower(trim(song_title)) NOT IN ({', '.join(map(_q, W.NO_SONG))})", "Songs that look like titles.")
 _add("flt09_valid_guest", None, lambda: L.valid_guest(F.col("featured_artists")), f"SELECT record_id FROM videos WHERE NOT {_any('lower(featured_artists)', W.NO_GUEST)} AND NOT regexp_full_match(featured_artists, '[\\d\\s\\-_.]+') AND length(trim(featured_artists)) >= 2", "Featured artists that look like names.")
 _add("flt12_karaoke_channel", None, lambda: L.karaoke_channel(), f"SELECT record_id FROM videos WHERE {_hits(_c + chr(32) + '||' + chr(32) + _q(' ') + ' || ' + _d, W.KARAOKE_CHANNEL)} >= 2 OR contains({_c}, 'karaoke')", "Records of channels about karaoke.")
