@@ -9,6 +9,7 @@ from chorale.llm.copies import canonical_key, collapsed, copy_runs
 from chorale.llm.graph import components
 from chorale.llm.matching import matches, title_parts
 from chorale.llm.names import SLOTS, _vector, average_linkage, cosine, explicable, grouped, link_keys, name_clusters, name_pairs, plain_words, slips, sparse_linkage
+from chorale.llm import matching
 from chorale.llm.near import group_pairs, near_duplicate_groups, normal_text, trigrams
 from chorale.llm.representatives import best_records, completeness, consolidated, valid_confidence
 
@@ -220,3 +221,21 @@ def test_groups_are_limited_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 as g", "id as record_id")
     plan = best_records(df, ["g"], [F.desc("record_id")])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_matching_in_cells_of_large_blocks_and_without_a_set_start(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abdeiklmnorstu", k=rng.randint(4, 9))) for _ in range(80)]
+    artists = [f"{rng.choice(words).title()} {rng.choice(words).title()}" for _ in range(12)]
+    songs = [(f"v{i}", artists[0] if i % 3 == 0 else rng.choice(artists), " ".join(rng.sample(words, 4)), rng.randint(1960, 2020)) for i in range(240)]
+    left = []
+    for i, (_, a, t, y) in enumerate(songs[:90]):
+        k = rng.randrange(len(t))
+        left.append((f"d{i}", None if i % 9 == 0 else a, t if i % 2 else t[:k] + t[k + 1 :], y if i % 4 else None))
+    schema = "key string, artist string, title string, year int"
+    tables = spark.createDataFrame(left, schema), spark.createDataFrame(songs, schema)
+    whole = {(r.left_key, r.right_key) for r in matching.matches(*tables).collect()}
+    monkeypatch.setattr(matching, "CELL", 7)
+    assert {(r.left_key, r.right_key) for r in matching.matches(*tables).collect()} == whole
+    true = {(f"d{i}", f"v{i}") for i in range(90) if i % 9 or i % 4}  # without artist and year nothing decides
+    assert len(whole & true) >= 0.75 * len(true) and len(whole - true) <= 3
