@@ -17,9 +17,6 @@ from chorale.functions.text import col, trimmed
 #: Candidate delimiters: signs that are written between values somewhere. Fixed values.
 CANDIDATES = [",", ";", "|", "/", "·", "&", "\t", "\n", "+", "•", "-", ".", "'", ":", "_"]
 
-#: Taken as written between values without proof where a source has too few rows to tell. Fixed values.
-USUAL = [",", ";", "|", "/", "·", "&", "\t", "\n"]
-
 _CLASS = {"\t": r"\t", "\n": r"\n\r", "|": r"\|", "/": "/", "-": r"\-", ".": r"\.", "+": r"\+", "&": "&", "'": "'"}
 
 
@@ -47,11 +44,11 @@ def _unquoted(c: Column) -> Column:
     return F.when(bare.startswith("[") & bare.endswith("]"), F.lit(None)).otherwise(bare)
 
 
-def infer_delimiters(df: DataFrame, field: str, candidates: list[str] = CANDIDATES, threshold: float = 0.5, min_rows: int = 20) -> tuple[list[str], list[DelimiterScore]]:
+def infer_delimiters(df: DataFrame, field: str, candidates: list[str] = CANDIDATES, threshold: float = 0.5) -> tuple[list[str], list[DelimiterScore]]:
     """The delimiters in use in df.field, and the scores of all candidates.
 
     One pass over all rows; what reaches the driver is one row. A candidate counts if its score is at
-    least `threshold`; one seen in fewer than `min_rows` rows counts if it is a usual delimiter.
+    least `threshold` and four pieces of five are regular, in however many rows it stands.
     """
     text = df.select(_unquoted(trimmed(field)).alias("v"))
     aggs = []
@@ -76,7 +73,7 @@ def infer_delimiters(df: DataFrame, field: str, candidates: list[str] = CANDIDAT
         n = row[f"n{i}"] or 0
         apart = min(1.0, (row[f"b{i}"] or 0) / max(1, n) * 20)
         scores.append(DelimiterScore(c, n, (row[f"c{i}"] or 0) / max(1, n), (row[f"g{i}"] or 0) / max(1, row[f"w{i}"] or 0), apart))
-    chosen = [s.delimiter for s in scores if (s.rows >= min_rows and s.score >= threshold and s.regularity >= 0.8) or (s.rows < min_rows and s.delimiter in USUAL)]
+    chosen = [s.delimiter for s in scores if s.rows and s.score >= threshold and s.regularity >= 0.8]
     return chosen, scores
 
 

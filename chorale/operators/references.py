@@ -2,7 +2,9 @@
 
 Method: references are pre-aggregated per key and period; keys with very many references (at most
 `hot_keys` of them, so the broadcast has a fixed bound) are settled by a broadcast, all others by a
-shuffled join of the keys that have an orphan in some period; both parts are united.
+shuffled join of the keys that have an orphan in some period; both parts are united. A key that is left to
+the shuffle has fewer references than each of the hot ones, so at most one in `hot_keys` + 1 of all; where
+that is still too much for a task, adaptive execution splits its partition.
 """
 
 from __future__ import annotations
