@@ -135,7 +135,7 @@ def _tightened(lengths: np.ndarray, sequence: np.ndarray, capacity: int) -> np.n
     dissolved = np.zeros(count, bool)
     failures = 0
     for s in np.argsort(-room, kind="stable").tolist():
-        if failures > 64:
+        if failures > PATIENCE:
             break
         own = order[ends[s] : ends[s + 1]]
         if (sequence[own] != s).any() or dissolved[s] or (len(own) and own.size and capacity - room[s] != lengths[own].sum()):
@@ -168,6 +168,9 @@ def _tightened(lengths: np.ndarray, sequence: np.ndarray, capacity: int) -> np.n
     return np.searchsorted(used, sequence)
 
 
+#: Sequences in a row that can't be emptied before no more are tried; it costs fill, never an item. Targets that are made part of the plan.
+PATIENCE, MOST_LITERAL = 64, 1000
+
 PACKED = "target_id long, doc_id long, piece long, n_tokens long, container long"
 
 
@@ -183,7 +186,13 @@ def packed(counts: DataFrame, targets: DataFrame, shard_tokens: int = SHARD_TOKE
     total = counts.agg(F.sum("n_tokens")).collect()[0][0] or 0
     shards = max(1, -(-int(total) // shard_tokens))
     limits = targets.where("capacity_tokens >= 1").select(F.col("target_id").cast("long").alias("target_id"), F.col("capacity_tokens").cast("long").alias("capacity")).dropDuplicates(["target_id"])
-    spread = counts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).join(F.broadcast(limits))
+    few = limits.limit(MOST_LITERAL + 1).collect()
+    sharded = counts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    if len(few) > MOST_LITERAL:
+        spread = sharded.withColumn("one", F.lit(1)).join(limits.withColumn("one", F.lit(1)), "one").drop("one")
+    else:  # a few targets are part of the plan, so there is no join
+        each = [F.struct(F.lit(r.target_id).cast("long").alias("target_id"), F.lit(r.capacity).cast("long").alias("capacity")) for r in few]
+        spread = sharded.select("*", F.inline(F.array(*each) if each else F.from_json(F.lit("[]"), "array<struct<target_id: long, capacity: long>>")))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         shard, capacity = int(key[1]), int(rows["capacity"].iloc[0])
