@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.plans.stage import staged
+from chorale.plans.stage import dropped, staged
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = after.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
         many = state.where("n > 1").limit(1).count()
         inner = 0 if many else after.select(F.col("a").alias("b")).distinct().join(after.select("b"), "b", "left_semi").limit(1).count()
+        dropped(edges)  # nothing reads the round before any more
         edges = after
         if not many and not inner:
             break
