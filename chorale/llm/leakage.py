@@ -32,7 +32,7 @@ COSINE, SHARED = 0.45, 7
 COMMON_ITEMS, COMMON_DOCS = 0.05, 0.02
 
 _WORD = re.compile(r"[^\W_]+")
-_TAGS = re.compile(r"<[^<>]{0,300}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
+_TAGS = re.compile(r"</?[a-zA-Z][^<>]*>|<[^<>]{0,300}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
 _CUES = re.compile(
     r"^[ \t]*\d{1,6}[ \t]*\r?\n(?=[ \t]*\d{1,2}:\d{2})"  # numbers of cues
     r"|[\[(]?(?<![\w:])\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?![\w:])[\])]?",  # cue times
@@ -232,11 +232,11 @@ def _passages(words: list[int]) -> list[list[int]]:
     return [words[i : i + WINDOW] for i in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)]
 
 
-def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank: int = RANK, seed: int = 7, shared: int = SHARED, runs_only: bool = False) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank: int = RANK, seed: int = 7, shared: int = SHARED) -> DataFrame:
     """doc_id, item_id, cosine, run_words, subsequence_words, item_words, answer_found of every candidate.
 
-    Candidates are near by cosine, or have `shared` consecutive words in common, whatever their cosine;
-    with `runs_only` the latter alone come out. All are checked.
+    Candidates are near by cosine in the latent space; as an exact rest for runs of words within other
+    text, those that have `shared` consecutive words in common are checked below that cosine too.
 
     documents: doc_id, text. items: item_id, item_text, answer; of a size that fits the driver (held-out
     tests do). All documents are searched over their whole text. A null or empty text has no candidates,
@@ -307,8 +307,7 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
                 pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
                 best = np.zeros(len(pair), np.float32)
                 np.maximum.at(best, at, np.concatenate(cosines))
-                keep = np.isin(pair, runs) if runs_only else np.ones(len(pair), bool)
-                for p, near_by in zip(pair[keep].tolist(), best[keep].tolist()):
+                for p, near_by in zip(pair.tolist(), best.tolist()):
                     d, i = divmod(p, len(ids))
                     whole, answer = np.frombuffer(packed[d], kind), answers[i]
                     seq = _only(whole, item_words[i], mask)
@@ -323,4 +322,14 @@ _LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", p
 
 def contaminated(documents: DataFrame, items: DataFrame, run: int = 9, **options) -> DataFrame:
     """The candidates that contain at least `run` consecutive words of the item."""
-    return leaks(documents, items, shared=min(run, SHARED), runs_only=True, **options).where(F.col("run_words") >= run)
+    return leaks(documents, items, shared=min(run, SHARED), **options).where(F.col("run_words") >= run)
+
+
+def paraphrases(documents: DataFrame, items: DataFrame, run: int = 9, share: float = 0.6, with_answer: float = 0.4, **options) -> DataFrame:
+    """The candidates without such a run that have most of an item's words in its order, or a good part of them and its answer.
+
+    A candidate counts if its longest common subsequence with the item is `share` of the item's words or
+    more, or `with_answer` of them and the document holds the answer.
+    """
+    enough = (F.col("subsequence_words") >= share * F.col("item_words")) | (F.col("answer_found") & (F.col("subsequence_words") >= with_answer * F.col("item_words")))
+    return leaks(documents, items, shared=min(run, SHARED), **options).where((F.col("run_words") < run) & enough)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm.leakage import contaminated, leaks
+from chorale.llm.leakage import contaminated, leaks, paraphrases
 from chorale.llm.packing import pack_documents
 from chorale.llm.quality import not_prose, text_statistics
 from chorale.sources.tables import spread, table
@@ -37,6 +37,11 @@ def p9_candidates(spark: SparkSession, d: str) -> DataFrame:
     return leaks(_documents(spark, d), table(spark, d, "eval_items")).withColumn("cosine", F.round("cosine", 6))
 
 
+def p9_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, item_id of every document that holds an item in other words."""
+    return paraphrases(_documents(spark, d), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """doc_id of every document that is mostly list, table or junk."""
     return not_prose(_documents(spark, d))
@@ -48,5 +53,5 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_candidates": p9_candidates}
+QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_candidates": p9_candidates, "p9_paraphrases": p9_paraphrases}
 ORACLE: dict[str, str] = {}

@@ -4,9 +4,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from chorale.llm.leakage import common_subsequence, contaminated, leaks, longest_run, words_of
+from chorale.llm.leakage import common_subsequence, contaminated, leaks, longest_run, paraphrases, words_of
 from chorale.llm.packing import _tightened, pack, packed, token_counts
-from chorale.llm.quality import divergence, not_prose, text_statistics
+from chorale.llm.quality import Profiles, divergence, fitted_profiles, not_prose, text_statistics
 
 
 def test_words_without_marks():
@@ -138,3 +138,33 @@ def test_prose_and_others(spark):
 def test_divergence_against_definition():
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([[0.0, 0.5, 0.5], [0.5, 0.5, 0.0]])
     assert divergence(p, q)[0] == pytest.approx([0.5, 0.0])
+
+
+def test_planted_paraphrases_are_found(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abdeiklmnorstu", k=rng.randint(3, 8))) for _ in range(900)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(25, 45))), rng.choice(words)) for i in range(40)]
+    documents, planted = [], set()
+    for i in range(300):
+        text = rng.choices(words, k=rng.randint(40, 120))
+        if i % 3 == 0:
+            item = rng.randrange(40)
+            said = items[item][1].split()
+            for k in range(rng.randrange(5), len(said), 5):  # every fifth word is another
+                said[k] = rng.choice(words)
+            text[len(text) // 2 : len(text) // 2] = said
+            planted.add((i, item))
+        documents.append((i, " ".join(text)))
+    got = paraphrases(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string, answer string"))
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert len(found & planted) >= 0.9 * len(planted) and len(found - planted) <= 0.1 * len(planted)
+
+
+def test_profiles_follow_the_documents(spark):
+    english = "The night was long and we sang all of the songs that she had brought with her, and then it was over. "
+    rows = [(i, english * 5) for i in range(60)] + [(100, "a, b, c"), (101, None), (102, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = fitted_profiles(df, 1000)
+    k = fitted.names.index("prose, en")
+    assert fitted.p[k][0] > Profiles().p[k][0] and fitted.kinds[k] == "prose"  # more function words than in general
+    assert {r.doc_id for r in text_statistics(df, fitted).where("prose_share > 0.5").collect()} == set(range(60))
