@@ -89,6 +89,27 @@ BY_CHANNEL: list[tuple[str, str, list[Rule]]] = [
     ),
 ]
 
+#: Rules that name the channel: {} stands for the channel's own name as written. Fixed values.
+BRANDED: list[Rule] = [
+    ("branded_quoted", r"^{}[:\s]*[\"']([^\"']+)[\"']\s*[-–—]\s*[\"']([^\"']+)[\"']", (1,), 2, 0.9),
+    ("branded_bracket", r"^\[{}\]\s*([^-–—]+)[-–—](.+)", (1,), 2, 0.85),
+    ("branded_dashes", r"^{}\s*[-–—]\s*(.+?)\s*[-–—]\s*(.+?)\s*\([^)]*karaoke[^)]*\)", (1,), 2, 0.8),
+]
+#: Further rules of the template pass, and those for titles of karaoke channels; a weight of the latter counts a tenth more, up to 0.95. Fixed values.
+TEMPLATES: list[Rule] = [
+    ("from_quoted", r'^(.+?)\s*[-–—]\s*(.+?)\s+from\s+"([^"]+)"(?:\s*\(karaoke[^)]*\))?$', (1,), 2, 0.7),
+    ("from_quoted_parens", r'^(.+?)\s*[-–—]\s*(.+?)\s*\(from\s+"([^"]+)"\)(?:\s*\(karaoke[^)]*\))?$', (1,), 2, 0.7),
+    ("two_quoted_karaoke", r'^"([^"]+)"\s*[-–—]\s*"([^"]+)"\s*[-–—]\s*karaoke', (1,), 2, 0.9),
+    ("artist_quoted_karaoke", r'^([^-–—]+)\s*[-–—]\s*"([^"]+)"\s*\([^)]*karaoke[^)]*\)', (1,), 2, 0.85),
+    ("bracket_artist_song", r"^\[([^\]]+)\]\s*([^-–—]+)[-–—](.+?)\s*\[[^\]]*karaoke[^\]]*\]", (2,), 3, 0.8),
+]
+IN_CONTEXT: list[Rule] = [
+    ("context_dash", r"^([^-–—]+)\s*[-–—]\s*([^(\[]+)", (1,), 2, 0.65),
+    ("context_quoted", r'^"([^"]+)"\s*[-–—]\s*"([^"]+)"', (1,), 2, 0.7),
+    ("context_by", r"^([^(]+?)\s*\([^)]*by\s+([^)]+)\)", (2,), 1, 0.6),
+]
+CONTEXT = ["karaoke", "karafun", "karaoké", "karaokê", "караоке", "sing along", "backing track", "instrumental", "covers", "tribute", "piano version"]
+
 #: The rules of the plain parse, tried on the title without its beginning marks. Fixed values.
 PLAIN: list[Rule] = [
     ("plain_quoted", r'^"([^"]+)"\s*-\s*"([^"]+)"\s*\([^)]*karaoke[^)]*\)', (1,), 2, 0.95),

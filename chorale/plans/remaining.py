@@ -38,10 +38,10 @@ def st04_limited(spark: SparkSession, d: str) -> DataFrame:
 
 def par16_staged_names(spark: SparkSession, d: str) -> DataFrame:
     """Release artists by the first stage that finds them among video artists: equal, alike, none. Only what is left goes on."""
-    names = table(spark, d, "discogs_data").select(T.plain_ascii("artist_name").alias("query")).where("query <> ''").distinct()
+    names = table(spark, d, "discogs_data").select(F.lower(T.plain_ascii("artist_name")).alias("query")).where("query <> ''").distinct()
     known = table(spark, d, "videos").select(F.lower(T.plain_ascii("artist")).alias("k")).where("k <> ''").distinct()
-    equal = names.join(known, F.lower("query") == F.col("k"), "left_semi")
-    left = names.join(known, F.lower("query") == F.col("k"), "left_anti")
+    equal = names.join(known, F.col("query") == F.col("k"), "left_semi")
+    left = names.join(known, F.col("query") == F.col("k"), "left_anti")
     best = jn07_best_match(spark, d).select("query", "candidate")
     rest = left.join(best, "query", "left").select("query", F.when(F.col("candidate").isNotNull(), "alike").otherwise("none").alias("stage"))
     return equal.select("query", F.lit("equal").alias("stage")).unionByName(rest)
@@ -77,7 +77,7 @@ _wd = "PARTITION BY user_id ORDER BY ts, event_id"
 _with_b = SIMILAR_SQL["jn07_best_match"].split(" SELECT query, candidate, score FROM (SELECT *, row_number()")[0]
 ORACLE |= {
     "st04_limited": f"SELECT event_id, round(greatest(0.0::DOUBLE, s - {(BURST - 1) * _gap}::DOUBLE - t), 3) AS wait_seconds FROM (SELECT event_id, t, max(t - k * {_gap}::DOUBLE) OVER ({_wd} ROWS UNBOUNDED PRECEDING) + k * {_gap}::DOUBLE AS s FROM (SELECT event_id, user_id, ts, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER ({_wd}) - 1 AS k FROM events))",
-    "par16_staged_names": f"{_with_b}, n AS (SELECT DISTINCT {{0}} AS query FROM discogs_data) SELECT query, CASE WHEN lower(query) IN (SELECT lower({{1}}) FROM videos WHERE artist IS NOT NULL) THEN 'equal' WHEN query IN (SELECT query FROM b) THEN 'alike' ELSE 'none' END AS stage FROM n WHERE query <> ''",
+    "par16_staged_names": f"{_with_b}, n AS (SELECT DISTINCT lower({{0}}) AS query FROM discogs_data) SELECT query, CASE WHEN lower(query) IN (SELECT lower({{1}}) FROM videos WHERE artist IS NOT NULL) THEN 'equal' WHEN query IN (SELECT query FROM b) THEN 'alike' ELSE 'none' END AS stage FROM n WHERE query <> ''",
     "sim08_variants": f"WITH {_PAIRS} SELECT a, b, x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x)) AS variant FROM (SELECT a, b, {_key('a')} AS x, {_key('b')} AS y FROM pairs)",
     "num05_cosine_to_first": "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], f::DOUBLE[]), 5) AS cosine FROM embeddings JOIN (SELECT label, arg_min(embedding, vec_id) AS f FROM embeddings GROUP BY 1) USING (label)",
 }

@@ -12,7 +12,7 @@ from chorale.functions import similarity as S
 from chorale.functions import strings as T
 from chorale.functions import words as W
 from chorale.functions.scoring import hit_relevance
-from chorale.functions.title_rules import BY_CHANNEL, BY_SCRIPT, LIBRARY, PLAIN, PLAIN_BEGINNINGS, PLAIN_DESCRIPTION, PLAIN_DESCRIPTION_WEIGHT, Rule
+from chorale.functions.title_rules import BRANDED, BY_CHANNEL, BY_SCRIPT, CONTEXT, IN_CONTEXT, LIBRARY, PLAIN, PLAIN_BEGINNINGS, PLAIN_DESCRIPTION, PLAIN_DESCRIPTION_WEIGHT, TEMPLATES, Rule
 from chorale.operators.filters import valid_artist, valid_guest, valid_name
 from chorale.operators.parsing import first_rule, parsed
 from chorale.plans.evidence import _list, _w
@@ -249,6 +249,26 @@ def scr17_by_edits(spark: SparkSession, d: str) -> DataFrame:
     return _validated(spark, d, lambda a, b: S.edit_similarity(T.plain_ascii(a), T.plain_ascii(b)))
 
 
+#: A channel's name is cut off a title's beginning before its rules are tried, so that they are the same for all channels.
+_UNBRANDED = [(n, p.replace("{}", "<channel>"), a, s, w) for n, p, a, s, w in BRANDED]
+
+
+def par10_template_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Titles by rules that name their channel, by further templates (both above 0.75), else for karaoke channels by their context (above 0.6)."""
+    v = spread(table(spark, d, "videos").select("record_id", "title", "channel_name").where("title is not null"))
+    low, name = F.lower("title"), F.lower(F.coalesce("channel_name", F.lit("")))
+    bracket, plain = F.startswith(low, F.concat(F.lit("["), name, F.lit("]"))) & (name != ""), F.startswith(low, name) & (name != "")
+    rest = lambda n: F.expr(f"substring(title, length(channel_name) + {n})")
+    marked = F.when(bracket, F.concat(F.lit("[<channel>]"), rest(3))).when(plain, F.concat(F.lit("<channel>"), rest(1))).otherwise(F.col("title"))
+    v = parsed(v.withColumn("__marked", marked), _UNBRANDED + TEMPLATES, "__marked", "t_")
+    v = parsed(v, IN_CONTEXT, "title", "c_")
+    context = reduce(lambda a, b: a | b, [name.contains(x) for x in CONTEXT])
+    boosted = F.round(F.least(F.col("c_confidence") * 1.1, F.lit(0.95)), 4)
+    first, second = F.col("t_confidence") > 0.75, context & (boosted > 0.6)
+    pick = lambda c: F.when(first, F.col(f"t_{c}")).when(second, F.col(f"c_{c}")).alias(c)
+    return v.select("record_id", pick("rule"), pick("artist"), pick("song"), F.when(first, F.col("t_confidence")).when(second, boosted).otherwise(0.0).alias("confidence"))
+
+
 def orc03_sorted_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits of watch pages with their score for the query, and their place among the channel's, best first."""
     v = spread(table(spark, d, "videos").select("record_id", "url", "title", "channel_id")).withColumn("hit", F.regexp_extract("url", r"watch\?v=([^&]+)", 1)).where("hit <> '' and channel_id is not null")
@@ -256,7 +276,7 @@ def orc03_sorted_hits(spark: SparkSession, d: str) -> DataFrame:
     return v.select("record_id", "hit", "channel_id", F.round(hit_relevance(QUERY), 6).alias("score")).withColumn("place", F.row_number().over(w))
 
 
-for _f in (orc03_sorted_hits, par03_script_rules, par04_channel_rules, par09_plain_parse, par11_library, jn16_rules_by_channel, par12_template_result, par15_pattern_confidence, par07_by_words, str08_guests, str10_search_queries, scr13_points, scr17_adjusted, scr17_by_edits):
+for _f in (par10_template_pass, orc03_sorted_hits, par03_script_rules, par04_channel_rules, par09_plain_parse, par11_library, jn16_rules_by_channel, par12_template_result, par15_pattern_confidence, par07_by_words, str08_guests, str10_search_queries, scr13_points, scr17_adjusted, scr17_by_edits):
     QUERIES[_f.__name__] = _f
 
 # SQL of the above
@@ -355,3 +375,9 @@ a AS (SELECT record_id, list_concat(list_concat(CASE WHEN lead IS NOT NULL THEN
 u AS (SELECT record_id, [x FOR x, i IN qs IF list_position(qs, x) = i AND length(x) > 3][1:7] AS qs FROM a)
 SELECT record_id, (i - 1)::INT AS pos, qs[i] AS query FROM (SELECT record_id, qs, unnest(range(1, len(qs) + 1)) AS i FROM u)"""
 ORACLE["orc03_sorted_hits"] = rf"""SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY score DESC, record_id) AS place FROM (SELECT record_id, regexp_extract(url, 'watch\?v=([^&]+)', 1) AS hit, channel_id, round(least(2.0::DOUBLE, CAST(contains({_t}, '{QUERY}') AS DOUBLE) + {_hits(_t, _terms)} / {len(_terms)}.0::DOUBLE * 0.5 + {_weighed(_t, W.HIT_WORDS)}), 6) AS score FROM videos) WHERE hit <> '' AND channel_id IS NOT NULL"""
+_n = "lower(coalesce(channel_name, ''))"
+_marked_sql = f"CASE WHEN {_n} <> '' AND starts_with(lower(title), '[' || {_n} || ']') THEN '[<channel>]' || substring(title, length(channel_name) + 3) WHEN {_n} <> '' AND starts_with(lower(title), {_n}) THEN '<channel>' || substring(title, length(channel_name) + 1) ELSE title END"
+_in_context = "(" + " OR ".join(f"contains({_n}, {q(x)})" for x in CONTEXT) + ")"
+ORACLE["par10_template_pass"] = f"""SELECT record_id, CASE WHEN first THEN r1 WHEN second THEN r2 END AS rule, CASE WHEN first THEN a1 WHEN second THEN a2 END AS artist, CASE WHEN first THEN s1 WHEN second THEN s2 END AS song, CASE WHEN first THEN k1 WHEN second THEN k2 ELSE 0 END::DOUBLE AS confidence FROM (
+SELECT *, k1 > 0.75 AS first, {_in_context} AND k2 > 0.6 AS second FROM (SELECT t.record_id, t.channel_name, t.rule AS r1, t.artist AS a1, t.song AS s1, t.confidence AS k1, c.rule AS r2, c.artist AS a2, c.song AS s2, round(least(c.confidence * 1.1, 0.95), 4) AS k2
+FROM ({_parsed_sql(_UNBRANDED + TEMPLATES, f"(SELECT record_id, channel_name, {_marked_sql} AS title FROM videos WHERE title IS NOT NULL)")}) t JOIN ({_parsed_sql(IN_CONTEXT, "(SELECT * FROM videos WHERE title IS NOT NULL)")}) c ON t.record_id = c.record_id))"""

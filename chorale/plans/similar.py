@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from chorale.functions import similarity as S
 from chorale.functions import strings as T
+from chorale.operators.fuzzy import edit_similar_pairs
 from chorale.plans.shared import Query
 from chorale.plans.texts import _SPACE, _WORD, q
+from chorale.plans.texts import ORACLE as ORACLE_TEXTS
 from chorale.sources.tables import table
 
 QUERIES: dict[str, Query] = {}
@@ -57,30 +59,31 @@ _parts = r"&|,| and | feat\.? | ft\.? "
 _add("flt21_more_artists", _ART, lambda: F.size(F.split(F.lower("a"), _parts)) > F.size(F.split(F.lower("b"), _parts)), f"len(regexp_split_to_array(lower(a), '{_parts}')) > len(regexp_split_to_array(lower(b), '{_parts}'))", _PAIRS)
 
 
-def _block(name: str):
-    """The first five letters of a name's longest word: given names and words of groups make no block."""
-    longest = F.array_max(F.transform(F.split(F.lower(name), "[^a-z]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    return F.left(longest["w"], F.lit(5))
+#: Weights of letters and sound, and the least score of a match. Fixed values.
+LETTERS, SOUND, MATCH = 0.8, 0.2, 0.8
 
 
-def _blocked(spark: SparkSession, d: str) -> DataFrame:
-    """Release artists and video artists whose longest words begin alike, scored; names are distinct on either side."""
-    asked = table(spark, d, "discogs_data").select(T.plain_ascii("artist_name").alias("query")).where("query <> ''").distinct().withColumn("block", _block("query"))
-    c = table(spark, d, "videos").select(T.plain_ascii("artist").alias("candidate")).where("candidate <> ''").distinct().withColumn("block", _block("candidate"))
-    both = asked.join(c, "block").where("length(block) = 5 and abs(length(query) - length(candidate)) <= 4")
-    return both.select("query", "candidate", F.round(S.edit_similarity(F.lower("query"), F.lower("candidate")), 6).alias("score")).where("score >= 0.8")
+def fuzzy_matches(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """query, candidate, score of all pairs of names that match: 0.8 of their edit similarity and 0.2 if they sound alike."""
+    pairs = edit_similar_pairs(asked.select(F.lower(asked.columns[0]).alias("a")), known.select(F.lower(known.columns[0]).alias("b")), (MATCH - SOUND) / LETTERS)
+    sound = ((T.sound("a") == T.sound("b")) | (T.short_sound("a") == T.short_sound("b"))).cast("double")
+    return pairs.select(F.col("a").alias("query"), F.col("b").alias("candidate"), F.round(F.col("similarity") * LETTERS + sound * SOUND, 6).alias("score")).where(F.col("score") >= MATCH)
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    return fuzzy_matches(table(spark, d, "discogs_data").select(T.plain_ascii("artist_name").alias("a")), table(spark, d, "videos").select(T.plain_ascii("artist").alias("b")))
 
 
 def jn07_best_match(spark: SparkSession, d: str) -> DataFrame:
-    """The candidate most like each query name within its block."""
+    """The candidate most like each query name, of all."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
-    return _blocked(spark, d).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return _matched(spark, d).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def jn08_all_matches(spark: SparkSession, d: str) -> DataFrame:
     """The ten candidates most like each query name."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
-    return _blocked(spark, d).withColumn("place", F.row_number().over(w)).where("place <= 10")
+    return _matched(spark, d).withColumn("place", F.row_number().over(w)).where("place <= 10")
 
 
 def jn09_pair_match(spark: SparkSession, d: str) -> DataFrame:
@@ -92,11 +95,27 @@ def jn09_pair_match(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("record_id", "release_record", "score")
 
 
+def known_in_titles(titles: DataFrame, artists: DataFrame, songs: DataFrame, least: float = 0.8) -> DataFrame:
+    """record_id, artist, song, confidence of the known artist and song most like a run of capitalised words of a title.
+
+    titles: record_id, title. The confidence is 0.9 of the better similarity. Runs are joined to the names
+    once each, however many titles have them; a title without a match has no row.
+    """
+    runs = titles.select("record_id", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1)))).alias("run")).withColumn("a", F.lower("run"))
+    found = None
+    for kind, names in (("artist", artists), ("song", songs)):
+        named = names.select(F.col(names.columns[0]).alias("name")).where("name <> ''").groupBy(F.lower("name").alias("b")).agg(F.min("name").alias("name"))
+        near = edit_similar_pairs(runs.select("a"), named.select("b"), least).where(F.col("similarity") > least).join(named, "b").select("a", F.struct(F.round("similarity", 6).alias("s"), "name").alias("hit"))
+        best = runs.join(near, "a").groupBy("record_id").agg(F.min_by("hit", F.struct(-F.col("hit.s"), F.col("hit.name"))).alias(kind))
+        found = best if found is None else found.join(best, "record_id", "full")
+    score = F.greatest(F.coalesce("artist.s", F.lit(0.0)), F.coalesce("song.s", F.lit(0.0)))
+    return found.select("record_id", F.col("artist.name").alias("artist"), F.col("song.name").alias("song"), F.round(score * 0.9, 6).alias("confidence"))
+
+
 def jn10_known_artists(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of titles that are known artists: the parts are joined to the names, none is scanned for."""
-    v = table(spark, d, "videos").select("record_id", F.explode(F.array_distinct(F.transform(F.split("title", r" - | \| | by |: "), lambda x: F.lower(F.trim(x))))).alias("part"))
-    known = table(spark, d, "discogs_data").where("artist_name <> ''").select(F.lower(F.trim("artist_name")).alias("part")).distinct()
-    return v.where("part <> ''").join(known, "part")
+    """Known artists and songs in titles, misspelt or not."""
+    g = table(spark, d, "discogs_data")
+    return known_in_titles(table(spark, d, "videos").select("record_id", T.plain_ascii("title").alias("title")), g.select(T.plain_ascii("artist_name").alias("n")), g.select(T.plain_ascii("song_title").alias("n")))
 
 
 def jn11_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
@@ -111,14 +130,18 @@ def jn11_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"jn07_best_match": jn07_best_match, "jn08_all_matches": jn08_all_matches, "jn09_pair_match": jn09_pair_match, "jn10_known_artists": jn10_known_artists, "jn11_nearest_centroid": jn11_nearest_centroid}
-_E = "round(1 - levenshtein(lower(query), lower(candidate))::DOUBLE / greatest(length(lower(query)), length(lower(candidate)), 1), 6)"
-_B = f"b AS (SELECT query, candidate, {_E} AS score FROM (SELECT DISTINCT {_ascii('artist_name')} AS query, left(list_max([{{'n': length(w), 'w': w}} FOR w IN regexp_split_to_array(lower(query), '[^a-z]+')]).w, 5) AS block FROM discogs_data) q JOIN (SELECT DISTINCT {_ascii('artist')} AS candidate, left(list_max([{{'n': length(w), 'w': w}} FOR w IN regexp_split_to_array(lower(candidate), '[^a-z]+')]).w, 5) AS block FROM videos) c USING (block) WHERE length(block) = 5 AND abs(length(query) - length(candidate)) <= 4 AND {_E} >= 0.8)"
+_sound_of = lambda name, x: ORACLE_TEXTS[name].removeprefix("SELECT record_id, ").split(" AS code")[0].replace("artist", x)
+_alike = f"(({_sound_of('str25_sound', 'query')}) = ({_sound_of('str25_sound', 'candidate')}) OR ({_sound_of('str25_short_sound', 'query')}) = ({_sound_of('str25_short_sound', 'candidate')}))"
+_B = f"""p AS (SELECT query, candidate, 1 - levenshtein(query, candidate)::DOUBLE / greatest(length(query), length(candidate)) AS e FROM (SELECT DISTINCT lower({_ascii('artist_name')}) AS query FROM discogs_data) q, (SELECT DISTINCT lower({_ascii('artist')}) AS candidate FROM videos) c WHERE query <> '' AND candidate <> '' AND abs(length(query) - length(candidate)) <= 0.25 * greatest(length(query), length(candidate)) + 1e-9),
+b AS (SELECT * FROM (SELECT query, candidate, round(e * {LETTERS} + CASE WHEN {_alike} THEN {SOUND} ELSE 0 END, 6) AS score FROM p WHERE e >= 0.75 - 1e-9) WHERE score >= {MATCH})"""
+_runs = r"[x FOR x IN regexp_extract_all(t, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b')]"
+_near = lambda kind, c: f"""{kind} AS (SELECT record_id, arg_min(name, (-s, name)) AS name, max(s) AS s FROM (SELECT record_id, name, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS s FROM (SELECT DISTINCT record_id, lower(x) AS a FROM r) r, (SELECT lower(n) AS b, min(n) AS name FROM (SELECT {_ascii(c)} AS n FROM discogs_data) WHERE n <> '' GROUP BY 1) k WHERE abs(length(a) - length(b)) <= 0.2 * greatest(length(a), length(b)) AND levenshtein(a, b) < 0.2 * greatest(length(a), length(b)) - 1e-9) GROUP BY 1)"""
 ORACLE |= {
     "jn07_best_match": f"WITH {_B} SELECT query, candidate, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rn FROM b) WHERE rn = 1",
     "jn08_all_matches": f"WITH {_B} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS place FROM b) WHERE place <= 10",
     "jn09_pair_match": f"""WITH s AS (SELECT v.record_id, g.record_id AS release_record, {_edit.format('lower(' + _ascii('v.artist') + ')', 'lower(' + _ascii('g.artist_name') + ')')} AS sa, {_edit.format('lower(' + _ascii('v.song_title') + ')', 'lower(' + _ascii('g.song_title') + ')')} AS ss FROM videos v JOIN discogs_data g ON v.video_id = g.video_id WHERE v.artist <> '' AND v.song_title <> '' AND g.artist_name <> '' AND g.song_title <> '')
 SELECT record_id, release_record, score FROM (SELECT record_id, release_record, round(sa * 0.6 + ss * 0.4, 6) AS score, row_number() OVER (PARTITION BY record_id ORDER BY round(sa * 0.6 + ss * 0.4, 6) DESC, release_record) AS rn FROM s WHERE sa >= 0.5 AND ss >= 0.5) WHERE rn = 1""",
-    "jn10_known_artists": "SELECT record_id, part FROM (SELECT DISTINCT record_id, unnest([lower(trim(x, ' ')) FOR x IN regexp_split_to_array(title, ' - | \\| | by |: ')]) AS part FROM videos) p WHERE part <> '' AND part IN (SELECT lower(trim(artist_name, ' ')) FROM discogs_data WHERE artist_name <> '')",
+    "jn10_known_artists": f"WITH r AS (SELECT record_id, unnest({_runs}) AS x FROM (SELECT record_id, {_ascii('title')} AS t FROM videos)), {_near('ar', 'artist_name')}, {_near('so', 'song_title')} SELECT coalesce(ar.record_id, so.record_id) AS record_id, ar.name AS artist, so.name AS song, round(greatest(coalesce(ar.s, 0), coalesce(so.s, 0)) * 0.9, 6) AS confidence FROM ar FULL JOIN so ON ar.record_id = so.record_id",
     "jn11_nearest_centroid": """WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label AS near, list(a ORDER BY i) AS mean FROM (SELECT label, i, avg(v::DOUBLE) AS a FROM x GROUP BY 1, 2) GROUP BY 1)
 SELECT vec_id, near, cosine FROM (SELECT vec_id, near, round(list_cosine_similarity(embedding::DOUBLE[], mean), 5) AS cosine, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], mean), 5) DESC, near) AS rn FROM embeddings CROSS JOIN m) WHERE rn = 1""",
 }

@@ -18,9 +18,11 @@ register(
     QUERIES,
     ORACLE,
     {
-        "snk02_latest_features": _latest("video_features", "video_id", "extracted_at", ["record_id", "has_guide_vocals", "has_scrolling_lyrics", "overall_confidence"], ", record_id DESC"),
-        "snk02_latest_ratings": _latest("ryd_data", "video_id", "fetched_at", ["estimated_dislikes", "ryd_likes", "ryd_rating"], ", estimated_dislikes DESC NULLS LAST, ryd_likes DESC NULLS LAST, ryd_rating DESC NULLS LAST"),
-        "snk02_latest_releases": _latest("discogs_data", "video_id", "fetched_at", ["record_id", "artist_name", "year"], ", record_id DESC"),
+        "snk02_latest_features": _latest("video_features", "video_id", "extracted_at", ["record_id", "has_guide_vocals", "has_scrolling_lyrics", "has_backing_vocals", "is_instrumental", "is_piano_only", "is_acoustic", "overall_confidence", "extracted_at"], ", record_id DESC"),
+        "snk02_latest_ratings": _latest("ryd_data", "video_id", "fetched_at", ["estimated_dislikes", "ryd_likes", "ryd_rating", "ryd_confidence", "fetched_at"], ", estimated_dislikes DESC NULLS LAST, ryd_likes DESC NULLS LAST, ryd_rating DESC NULLS LAST, ryd_confidence DESC NULLS LAST"),
+        "snk02_latest_releases": _latest("discogs_data", "video_id", "fetched_at", ["record_id", "release_id", "master_id", "artist_name", "song_title", "year", "genres", "styles", "label", "country", "media_format", "confidence", "discogs_url", "community_have", "community_want", "barcode", "catno", "fetched_at"], ", record_id DESC"),
+        "snk02_latest_quality": _latest("videos", "video_id", "scraped_at", ["record_id", "quality_score", "engagement_ratio", "parse_confidence"], ", record_id DESC"),
+        "snk02_latest_checks": _latest("videos", "video_id", "scraped_at", ["record_id", "discogs_checked", "musicbrainz_checked"], ", record_id DESC"),
         "snk04_touched_channels": "SELECT channel_id, max(scraped_at) AS updated_at FROM {videos} WHERE channel_id IS NOT NULL GROUP BY channel_id",
         "prj02_rounded": "SELECT record_id, CAST(round(CAST(parse_confidence AS DECIMAL(28, 12)), 2) AS DOUBLE) AS confidence, CAST(round(CAST(engagement_ratio AS DECIMAL(28, 12)), 3) AS DOUBLE) AS engagement FROM {videos} WHERE abs(parse_confidence) < 1000000 AND abs(coalesce(engagement_ratio, 0)) < 1000000",
         "prj03_optimized": """
@@ -70,8 +72,8 @@ _CUT = "2025-01-01"
 
 
 def snk01_upserted(spark: SparkSession, d: str) -> DataFrame:
-    """The store after a batch: the records of a later period replace those of the same video."""
-    v = table(spark, d, "videos").where("video_id is not null").select("video_id", "record_id", "title", "scraped_at")
+    """The store after a batch, with all its columns: the records of a later period replace those of the same video."""
+    v = table(spark, d, "videos").where("video_id is not null")
     return upsert(v.where(F.col("scraped_at") < _CUT), v.where(F.col("scraped_at") >= _CUT), ["video_id"], [F.desc_nulls_last("scraped_at"), F.desc("record_id")])
 
 
@@ -90,8 +92,8 @@ def prj06_merged(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES |= {"snk01_upserted": snk01_upserted, "snk03_channels_added": snk03_channels_added, "prj06_merged": prj06_merged}
 ORACLE |= {
-    "snk01_upserted": f"""WITH v AS (SELECT video_id, record_id, title, scraped_at, scraped_at >= TIMESTAMP '{_CUT}' AS is_new FROM videos WHERE video_id IS NOT NULL)
-SELECT video_id, record_id, title, scraped_at FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY is_new DESC, scraped_at DESC NULLS LAST, record_id DESC) AS rn FROM v WHERE is_new IS NOT NULL) WHERE rn = 1""",
+    "snk01_upserted": f"""WITH v AS (SELECT *, scraped_at >= TIMESTAMP '{_CUT}' AS is_new FROM videos WHERE video_id IS NOT NULL)
+SELECT * EXCLUDE (rn, is_new) FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY is_new DESC, scraped_at DESC NULLS LAST, record_id DESC) AS rn FROM v WHERE is_new IS NOT NULL) WHERE rn = 1""",
     "snk03_channels_added": "SELECT channel_id FROM channels WHERE channel_id IS NOT NULL UNION SELECT channel_id FROM videos WHERE channel_id IS NOT NULL",
     "prj06_merged": """WITH a AS (SELECT * FROM (SELECT video_id, artist, song_title, release_year, genre, parse_confidence AS c, row_number() OVER (PARTITION BY video_id ORDER BY parse_confidence DESC, record_id) AS rn FROM videos WHERE video_id IS NOT NULL AND parse_confidence BETWEEN 0 AND 1) WHERE rn = 1),
 b AS (SELECT * FROM (SELECT video_id, artist_name, song_title, year, styles, confidence AS c, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, record_id) AS rn FROM discogs_data WHERE video_id IS NOT NULL AND confidence BETWEEN 0 AND 1) WHERE rn = 1)
