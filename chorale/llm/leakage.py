@@ -114,9 +114,9 @@ def _numbered(vocabulary: dict[str, int], kind: str):
 
 
 def _entries(packed: list[bytes], kind: str, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, word) of every word with a weight, a passage by number over the whole batch; and the document of each passage.
+    """(stride, word) of every word with a weight, strides by number over the whole batch and in order; and the document of each number.
 
-    A word at place p is in the passages p // STRIDE and the one before it.
+    Passage q consists of the strides q and q + 1; each document's first number and the one after its last have no words.
     """
     arrays = [np.frombuffer(x, kind) for x in packed]
     lengths = np.array([len(a) for a in arrays], np.int64)
@@ -126,21 +126,31 @@ def _entries(packed: list[bytes], kind: str, weight: np.ndarray) -> tuple[np.nda
     at = np.flatnonzero(weight[flat] > 0)
     doc = np.repeat(np.arange(len(arrays)), lengths)[at]
     place = at - np.repeat(np.cumsum(lengths) - lengths, lengths)[at]
-    passage = first[doc] + 1 + place // STRIDE
-    word = flat[at]
-    return np.concatenate([passage, passage - 1]), np.concatenate([word, word]), np.repeat(np.arange(len(arrays)), counts)
+    return first[doc] + 1 + place // STRIDE, flat[at], np.repeat(np.arange(len(arrays)), counts)
 
 
-def _blocks(passage: np.ndarray, word: np.ndarray, most: int = 30_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(passages, start of each, words) of about `most` entries at a time, passages whole: what is spread over the dimensions stays small."""
-    order = np.argsort(passage, kind="stable")
-    passage, word = passage[order], word[order]
-    starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.zeros(0, np.int64)
+def _stride_sums(stride: np.ndarray, word: np.ndarray, table: np.ndarray, most: int = 30_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """For about `most` words at a time, strides whole: the numbers of the strides with words, the place after
+    each one's last word, the sums of the words' rows of `table` in it, in the stride before and in the one
+    after, whether the one before has words, and the words.
+
+    A word is added up once, though it is in two passages; what is spread over the dimensions stays small.
+    """
+    starts = np.flatnonzero(np.r_[True, stride[1:] != stride[:-1]]) if len(stride) else np.zeros(0, np.int64)
+    numbers, ends = stride[starts], np.r_[starts[1:], len(stride)]
     k = 0
     while k < len(starts):
         n = max(k + 1, int(np.searchsorted(starts, starts[k] + most)))
-        end = starts[n] if n < len(starts) else len(passage)
-        yield passage[starts[k:n]], starts[k:n] - starts[k], word[starts[k] : end]
+        lo, hi = max(0, k - 1), min(len(starts), n + 1)
+        sums = np.add.reduceat(table[word[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], axis=0)
+        none = np.zeros((1, table.shape[1]), table.dtype)
+        before = sums[k - 1 - lo : n - 1 - lo] if k else np.concatenate([none, sums[: n - 1]])
+        after = sums[k + 1 - lo : n + 1 - lo] if n < len(starts) else np.concatenate([sums[k + 1 - lo :], none])
+        own = numbers[k:n]
+        # only neighbours by number count
+        linked = np.r_[numbers[k - 1] if k else -9, own[:-1]] == own - 1
+        links = np.r_[own[1:], numbers[n] if n < len(numbers) else -9] == own + 1
+        yield own, ends[k:n] - starts[k], sums[k - lo : n - lo], before * linked[:, None], after * links[:, None], linked, word[starts[k] : ends[n - 1]]
         k = n
 
 
@@ -160,13 +170,12 @@ def _products(kind: str, weight: np.ndarray, omega: np.ndarray):
     """Of the partition's passages A: the rows of A'(A omega) that are not zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(omega.shape, np.float64)
+        total, weighed = np.zeros(omega.shape, np.float64), omega * weight[:, None]
         for b in batches:
-            passage, word, _ = _entries(b.column(0).to_pylist(), kind, weight)
-            for _, starts, words in _blocks(passage, word):
-                w = weight[words][:, None]
-                sums = np.add.reduceat(omega[words] * w, starts, axis=0)
-                back = np.repeat(sums, np.diff(np.r_[starts, len(words)]), axis=0) * w
+            stride, word, _ = _entries(b.column(0).to_pylist(), kind, weight)
+            for _, ends, sums, before, after, _, words in _stride_sums(stride, word, weighed):
+                # a word is in the passage its stride begins and in the one it ends
+                back = np.repeat(before + 2 * sums + after, np.diff(np.r_[0, ends]), axis=0) * weight[words][:, None]
                 order = np.argsort(words, kind="stable")
                 firsts = np.flatnonzero(np.r_[True, np.diff(words[order]) != 0])
                 total[words[order][firsts]] += np.add.reduceat(back[order], firsts, axis=0)
@@ -232,11 +241,13 @@ def _passages(words: list[int]) -> list[list[int]]:
     return [words[i : i + WINDOW] for i in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)]
 
 
-def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank: int = RANK, seed: int = 7, shared: int = SHARED) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank: int = RANK, seed: int = 7, shared: int = SHARED, least_run: int = 0) -> DataFrame:
     """doc_id, item_id, cosine, run_words, subsequence_words, item_words, answer_found of every candidate.
 
     Candidates are near by cosine in the latent space; as an exact rest for runs of words within other
-    text, those that have `shared` consecutive words in common are checked below that cosine too.
+    text, those that have `shared` consecutive words in common are checked below that cosine too. With
+    `least_run` (of `shared` or more) only pairs with such a run come out: one without `shared` consecutive
+    words in common has none, so its other checks are saved.
 
     documents: doc_id, text. items: item_id, item_text, answer; of a size that fits the driver (held-out
     tests do). All documents are searched over their whole text. A null or empty text has no candidates,
@@ -284,15 +295,15 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
         mask = np.zeros(len(weight), bool)
         for b in batches:
             docs, packed = b.column(0).to_pylist(), b.column(1).to_pylist()
-            passage, word, doc_of = _entries(packed, kind, weight)
+            stride, word, doc_of = _entries(packed, kind, weight)
             out: list[tuple] = []
             run_doc, run_item = _sharing(packed, kind, shared, numbers, run_of)
             runs = run_doc * len(ids) + run_item
             has_run = np.zeros(len(docs), bool)
             has_run[run_doc] = True
             pairs, cosines = [runs], [np.zeros(len(runs), np.float32)]
-            for rows, starts, words in _blocks(passage, word):
-                sums = np.add.reduceat(project[words], starts, axis=0)
+            for own, _, one, _, after, linked, _ in _stride_sums(stride, word, project):
+                rows, sums = np.concatenate([own, own[~linked] - 1]), np.concatenate([one + after, one[~linked]])
                 for s in range(0, len(rows), 4096):
                     near = unit(sums[s : s + 4096]) @ latent.T
                     r, c = np.nonzero(near >= cosine)
@@ -307,6 +318,9 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
                 pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
                 best = np.zeros(len(pair), np.float32)
                 np.maximum.at(best, at, np.concatenate(cosines))
+                if least_run >= shared:
+                    has = np.isin(pair, runs)
+                    pair, best = pair[has], best[has]
                 for p, near_by in zip(pair.tolist(), best.tolist()):
                     d, i = divmod(p, len(ids))
                     whole, answer = np.frombuffer(packed[d], kind), answers[i]
@@ -322,7 +336,7 @@ _LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", p
 
 def contaminated(documents: DataFrame, items: DataFrame, run: int = 9, **options) -> DataFrame:
     """The candidates that contain at least `run` consecutive words of the item."""
-    return leaks(documents, items, shared=min(run, SHARED), **options).where(F.col("run_words") >= run)
+    return leaks(documents, items, shared=min(run, SHARED), least_run=run, **options).where(F.col("run_words") >= run)
 
 
 def paraphrases(documents: DataFrame, items: DataFrame, run: int = 9, share: float = 0.6, with_answer: float = 0.4, **options) -> DataFrame:
