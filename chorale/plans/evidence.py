@@ -124,3 +124,5 @@ register(
         "par20_kept_artist": "SELECT v.record_id, CASE WHEN length(v.artist) - length(replace(v.artist, '&', '')) > length(g.artist_name) - length(replace(g.artist_name, '&', '')) THEN v.artist ELSE g.artist_name END AS artist, g.record_id AS release_record FROM {videos} v JOIN {discogs_data} g ON v.video_id = g.video_id WHERE v.artist <> '' AND g.artist_name <> ''",
         },
 )
+
+ORACLE["prj11_parsing_json"] = "SELECT record_id, CASE WHEN genre IS NOT NULL OR release_year IS NOT NULL THEN '{' || concat_ws(',', '\"genre\":' || to_json(genre), '\"release_year\":' || release_year::VARCHAR) || '}' END AS metadata FROM videos"

@@ -100,3 +100,6 @@ register(
         "par19_release_ladder": "SELECT video_id, record_id, confidence FROM (SELECT video_id, record_id, confidence, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, record_id) AS rn, count(*) OVER (PARTITION BY video_id) AS n FROM {discogs_data} WHERE video_id IS NOT NULL AND confidence BETWEEN 0.3 AND 1) x WHERE rn = 1 AND (n <= 3 OR confidence >= 0.6)",
     },
 )
+
+# the same from the checking engine's own catalogue, its type names turned into Spark's
+ORACLE["jn06_columns"] = "SELECT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type, (ordinal_position - 1)::INT AS place FROM information_schema.columns WHERE table_name IN ('videos', 'channels', 'video_features', 'discogs_data', 'ryd_data', 'documents')"

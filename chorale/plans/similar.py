@@ -131,6 +131,7 @@ def jn11_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES |= {"jn07_best_match": jn07_best_match, "jn08_all_matches": jn08_all_matches, "jn09_pair_match": jn09_pair_match, "jn10_known_artists": jn10_known_artists, "jn11_nearest_centroid": jn11_nearest_centroid}
 _sound_of = lambda name, x: ORACLE_TEXTS[name].removeprefix("SELECT record_id, ").split(" AS code")[0].replace("artist", x)
+ORACLE["sim03_phonetic"] = f"WITH {_PAIRS} SELECT a, b, CASE WHEN ({_sound_of('str25_sound', 'a')}) = ({_sound_of('str25_sound', 'b')}) OR ({_sound_of('str25_short_sound', 'a')}) = ({_sound_of('str25_short_sound', 'b')}) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM pairs"
 _alike = f"(({_sound_of('str25_sound', 'query')}) = ({_sound_of('str25_sound', 'candidate')}) OR ({_sound_of('str25_short_sound', 'query')}) = ({_sound_of('str25_short_sound', 'candidate')}))"
 _B = f"""p AS (SELECT query, candidate, 1 - levenshtein(query, candidate)::DOUBLE / greatest(length(query), length(candidate)) AS e FROM (SELECT DISTINCT lower({_ascii('artist_name')}) AS query FROM discogs_data) q, (SELECT DISTINCT lower({_ascii('artist')}) AS candidate FROM videos) c WHERE query <> '' AND candidate <> '' AND abs(length(query) - length(candidate)) <= 0.25 * greatest(length(query), length(candidate)) + 1e-9),
 b AS (SELECT * FROM (SELECT query, candidate, round(e * {LETTERS} + CASE WHEN {_alike} THEN {SOUND} ELSE 0 END, 6) AS score FROM p WHERE e >= 0.75 - 1e-9) WHERE score >= {MATCH})"""
