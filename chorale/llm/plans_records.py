@@ -10,7 +10,7 @@ from chorale.llm.copies import canonical_key, collapsed, copy_runs
 from chorale.llm.matching import matches
 from chorale.llm.names import name_clusters, name_pairs
 from chorale.llm.near import group_pairs, near_duplicate_groups, normal_text
-from chorale.llm.representatives import best_records, consolidated, valid_confidence
+from chorale.llm.representatives import best_records, completeness, consolidated, top_of_group, valid_confidence
 from chorale.sources.tables import table
 
 
@@ -41,6 +41,12 @@ def p1_consolidated(spark: SparkSession, d: str) -> DataFrame:
     return consolidated(rows, ["group_id"], MERGED, [("trust", True), ("at", True), ("record_id", True)])
 
 
+def p1_most_complete(spark: SparkSession, d: str) -> DataFrame:
+    """group_id, record_id, filled: of every video the record with most fields filled, then the most trusted, the latest and the largest id."""
+    v = table(spark, d, "videos").select(video_key("video_id", "url").alias("group_id"), valid_confidence("parse_confidence").alias("trust"), F.col("scraped_at").alias("at"), "record_id", completeness(MERGED).cast("long").alias("filled"))
+    return top_of_group(v.where("group_id is not null"), ["group_id"], [F.desc("filled"), *_order()]).select("group_id", "record_id", "filled")
+
+
 def _named(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "videos").select("record_id", "artist", "song_title").where("artist <> '' and song_title <> ''")
 
@@ -110,7 +116,7 @@ _L = r"regexp_replace(lower({}), '[^\pL\pN]+', '', 'g')"
 _COPIES = f"""k AS (SELECT record_id, least({_L.format("artist")}, {_L.format("song_title")}) AS a, greatest({_L.format("artist")}, {_L.format("song_title")}) AS b FROM videos WHERE artist <> '' AND song_title <> ''),
 g AS (SELECT min(record_id) OVER (PARTITION BY a, b) AS first_record_id, record_id FROM k)"""
 
-QUERIES = {"p1_found": p1_found, "p1_consolidated": p1_consolidated, "p5_found": p5_found, "p5_copy_counts": p5_copy_counts, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_matches": p7_matches}
+QUERIES = {"p1_found": p1_found, "p1_consolidated": p1_consolidated, "p1_most_complete": p1_most_complete, "p5_found": p5_found, "p5_copy_counts": p5_copy_counts, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_matches": p7_matches}
 ORACLE = {
     "p1_found": rf"""WITH r AS (
  SELECT 'videos' AS table_name, {_V_KEY} AS group_id, CASE WHEN parse_confidence BETWEEN 0 AND 1 THEN parse_confidence END AS trust, scraped_at AS t, record_id, release_year AS y FROM videos
@@ -120,6 +126,9 @@ SELECT table_name, group_id, min_by(record_id, n) AS best_record_id, coalesce(mi
     "p1_consolidated": rf"""WITH r AS (SELECT *, {_V_KEY} AS group_id, CASE WHEN parse_confidence BETWEEN 0 AND 1 THEN parse_confidence END AS trust FROM videos),
 o AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY trust DESC NULLS LAST, scraped_at DESC NULLS LAST, record_id DESC) AS n FROM r WHERE group_id IS NOT NULL)
 SELECT group_id, count(*) AS copies, {", ".join(f"min_by({c}, n) FILTER (WHERE trim({c}::varchar) <> '') AS {c}" for c in MERGED)} FROM o GROUP BY 1""",
+    "p1_most_complete": rf"""WITH r AS (SELECT *, {_V_KEY} AS group_id, CASE WHEN parse_confidence BETWEEN 0 AND 1 THEN parse_confidence END AS trust, {" + ".join(f"(coalesce(trim({c}::VARCHAR, ' '), '') <> '')::BIGINT" for c in MERGED)} AS filled FROM videos),
+o AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY filled DESC, trust DESC NULLS LAST, scraped_at DESC NULLS LAST, record_id DESC) AS n FROM r WHERE group_id IS NOT NULL)
+SELECT group_id, record_id, filled::BIGINT AS filled FROM o WHERE n = 1""",
     "p5_found": f"WITH {_COPIES} SELECT first_record_id, record_id FROM g WHERE record_id <> first_record_id",
     "p5_copy_counts": f"WITH {_COPIES} SELECT first_record_id, count(*) AS copies FROM g GROUP BY 1",
 }
