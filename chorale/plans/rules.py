@@ -223,6 +223,10 @@ def scr13_points(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("place", F.row_number().over(w)).where("place = 1").select("record_id", "release_record", F.col("points").cast("long").alias("points"))
 
 
+#: Added before rounding, so that halves go up whatever the last bit of a sum is.
+HALF = 1e-9
+
+
 def validation_factor(artist: Column, song: Column, score: Column) -> Column:
     """How well a parse matches a catalogue entry, 0 to 1.5, from the similarities of artist and song and the catalogue's score (0 to 100)."""
     exact = F.when((artist > 0.95) & (song > 0.95), 0.3).when((artist > 0.9) | (song > 0.9), 0.15).otherwise(0.0)
@@ -236,7 +240,7 @@ def _validated(spark: SparkSession, d: str, similar) -> DataFrame:
     c = v.join(g, "video_id").withColumns({"sa": similar(low("artist"), low("artist_name")), "ss": similar(low("song_title"), low("release_song"))})
     c = c.withColumn("factor", validation_factor(F.col("sa"), F.col("ss"), F.col("confidence") * 20))
     sure = F.col("factor") >= 0.8
-    return c.select("record_id", "release_record", F.round("factor", 6).alias("factor"), F.round(F.least(F.col("parse_confidence") * F.col("factor"), F.lit(0.98)), 6).alias("confidence"), F.when(sure, F.col("artist_name")).otherwise(F.col("artist")).alias("final_artist"), F.when(sure & (F.col("release_song") != ""), F.col("release_song")).otherwise(F.col("song_title")).alias("final_song"))
+    return c.select("record_id", "release_record", F.round(F.col("factor") + HALF, 6).alias("factor"), F.round(F.least(F.col("parse_confidence") * F.col("factor"), F.lit(0.98)) + HALF, 6).alias("confidence"), F.when(sure, F.col("artist_name")).otherwise(F.col("artist")).alias("final_artist"), F.when(sure & (F.col("release_song") != ""), F.col("release_song")).otherwise(F.col("song_title")).alias("final_song"))
 
 
 def scr17_adjusted(spark: SparkSession, d: str) -> DataFrame:
@@ -332,7 +336,7 @@ SELECT v.record_id, g.record_id AS release_record, CASE WHEN g.artist_name IS NU
  + least(coalesce(releases, 0), 10) + CASE WHEN coalesce(g.styles, g.genres, '') <> '' THEN 5 ELSE 0 END AS points
 FROM (SELECT * FROM videos WHERE artist <> '' AND song_title <> '') v JOIN discogs_data g ON v.video_id = g.video_id LEFT JOIN n ON g.master_id = n.master_id)
 SELECT record_id, release_record, points FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY points DESC, release_record) AS place FROM c WHERE points >= 50) WHERE place = 1""",
-    "scr17_by_edits": f"""SELECT record_id, release_record, round(f, 6) AS factor, round(least(pc * f, 0.98), 6) AS confidence, CASE WHEN f >= 0.8 THEN artist_name ELSE artist END AS final_artist, CASE WHEN f >= 0.8 AND gs <> '' THEN gs ELSE song_title END AS final_song FROM (
+    "scr17_by_edits": f"""SELECT record_id, release_record, round(f + 1e-9, 6) AS factor, round(least(pc * f, 0.98) + 1e-9, 6) AS confidence, CASE WHEN f >= 0.8 THEN artist_name ELSE artist END AS final_artist, CASE WHEN f >= 0.8 AND gs <> '' THEN gs ELSE song_title END AS final_song FROM (
 SELECT *, greatest(0.0::DOUBLE, least(1.5::DOUBLE, (sa + ss) / 2 + least(c * 20 / 100, 0.2) + CASE WHEN sa > 0.95 AND ss > 0.95 THEN 0.3 WHEN sa > 0.9 OR ss > 0.9 THEN 0.15 ELSE 0 END - CASE WHEN sa < 0.5 OR ss < 0.5 THEN 0.2 ELSE 0 END)) AS f FROM (
 SELECT v.record_id, g.record_id AS release_record, v.artist, v.song_title, v.parse_confidence AS pc, g.artist_name, g.song_title AS gs, g.confidence AS c, {_edit(_ascii(_low('v.artist')), _ascii(_low('g.artist_name')))} AS sa, {_edit(_ascii(_low('v.song_title')), _ascii(_low('g.song_title')))} AS ss
 FROM (SELECT * FROM videos WHERE artist <> '' AND song_title <> '' AND parse_confidence BETWEEN 0 AND 1) v JOIN (SELECT * FROM discogs_data WHERE confidence BETWEEN 0 AND 1 AND artist_name <> '') g ON v.video_id = g.video_id))""",

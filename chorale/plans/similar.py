@@ -136,7 +136,7 @@ _alike = f"(({_sound_of('str25_sound', 'query')}) = ({_sound_of('str25_sound', '
 _B = f"""p AS (SELECT query, candidate, 1 - levenshtein(query, candidate)::DOUBLE / greatest(length(query), length(candidate)) AS e FROM (SELECT DISTINCT lower({_ascii('artist_name')}) AS query FROM discogs_data) q, (SELECT DISTINCT lower({_ascii('artist')}) AS candidate FROM videos) c WHERE query <> '' AND candidate <> '' AND abs(length(query) - length(candidate)) <= 0.25 * greatest(length(query), length(candidate)) + 1e-9),
 b AS (SELECT * FROM (SELECT query, candidate, round(e * {LETTERS} + CASE WHEN {_alike} THEN {SOUND} ELSE 0 END, 6) AS score FROM p WHERE e >= 0.75 - 1e-9) WHERE score >= {MATCH})"""
 _runs = r"[x FOR x IN regexp_extract_all(t, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b')]"
-_near = lambda kind, c: f"""{kind} AS (SELECT record_id, arg_min(name, (-s, name)) AS name, max(s) AS s FROM (SELECT record_id, name, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS s FROM (SELECT DISTINCT record_id, lower(x) AS a FROM r) r, (SELECT lower(n) AS b, min(n) AS name FROM (SELECT {_ascii(c)} AS n FROM discogs_data) WHERE n <> '' GROUP BY 1) k WHERE abs(length(a) - length(b)) <= 0.2 * greatest(length(a), length(b)) AND levenshtein(a, b) < 0.2 * greatest(length(a), length(b)) - 1e-9) GROUP BY 1)"""
+_near = lambda kind, c: f"""{kind} AS (SELECT record_id, arg_min(name, (-s, name)) AS name, max(s) AS s FROM (SELECT DISTINCT record_id, lower(x) AS a FROM r) r JOIN (SELECT a, name, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS s FROM (SELECT DISTINCT lower(x) AS a FROM r), (SELECT lower(n) AS b, min(n) AS name FROM (SELECT {_ascii(c)} AS n FROM discogs_data) WHERE n <> '' GROUP BY 1) k WHERE abs(length(a) - length(b)) <= 0.2 * greatest(length(a), length(b)) AND levenshtein(a, b) < 0.2 * greatest(length(a), length(b)) - 1e-9) USING (a) GROUP BY 1)"""
 ORACLE |= {
     "jn07_best_match": f"WITH {_B} SELECT query, candidate, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rn FROM b) WHERE rn = 1",
     "jn08_all_matches": f"WITH {_B} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS place FROM b) WHERE place <= 10",
