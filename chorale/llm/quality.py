@@ -3,8 +3,9 @@
 Method: every segment of a text (a run of lines of one layout) gives a distribution over function words,
 other words, numbers, sentence ends, separators, item marks and other signs. Its Jensen-Shannon
 divergence to the prose profiles of its language and to profiles of lists, tables and junk decides what it
-is; basic counts are taken alongside. The prose profiles of each language are fitted to a bounded sample of
-the documents first, from general ones; all else is local to a row: one pass, no shuffle.
+is; basic counts are taken alongside. Texts are read once: the distributions of their segments are written to
+the shared folder, the prose profiles of each language are fitted to all of them, from general ones, and then
+each document's segments are compared to the profiles. There is no shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chorale.plans.stage import staged
+
 #: Function words of each language. Fixed values.
 FUNCTION_WORDS = {
     "en": """a about after again all although an and another any are as at be because been before but by can could did do does down each
@@ -62,8 +65,8 @@ _P = _P / _P.sum(1, keepdims=True)
 
 _PROSE = [i for i, k in enumerate(_KINDS) if k == "prose"]
 
-#: About so many documents are looked at to fit the prose profiles of the languages; so many segments a general profile counts for.
-SAMPLE, PRIOR = 4000, 50
+#: So many segments a general profile counts for where the prose profiles of the languages are fitted.
+PRIOR = 50
 
 
 class Profiles:
@@ -240,13 +243,46 @@ _OUT = pa.schema(
 STATISTICS = "doc_id long, n_words long, mean_word_length double, symbol_ratio double, ended_lines double, function_words double, prose_share double, list_share double, table_share double, junk_share double, profile string, profile_divergence double"
 
 
+_MEASURED = pa.schema(
+    list(_OUT)[:6] + [("size", pa.list_(pa.int64())), ("vectors", pa.list_(pa.float64())), ("spoken", pa.list_(pa.int32()))]
+)
+_MEASURED_DDL = ", ".join(STATISTICS.split(", ")[:6]) + ", size array<long>, vectors array<double>, spoken array<int>"
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text -> the basic counts, and of every segment its characters, its distribution and how many function words of each language it has."""
+    for b in batches:
+        basic, sizes, vectors, spoken = [], [], [], []
+        for text in b.column(1).to_pylist():
+            text = text or ""
+            words = _WORDS.findall(text.lower())
+            lines = [x for x in text.splitlines() if x.strip()]
+            chars = sum(map(len, words))
+            functions = sum(map(_MASK.__contains__, words))
+            basic.append((len(words), chars / max(1, len(words)), len(_SIGN.findall(text)) / max(1, len(text)), sum(1 for x in lines if _END.search(x)) / max(1, len(lines)), functions / max(1, len(words))))
+            found = [(n, *_distribution(run, kind)) for n, run, kind in _segments(text)]
+            sizes.append([n for n, _, _ in found])
+            vectors.append(np.concatenate([v for _, v, _ in found]) if found else [])
+            spoken.append(np.concatenate([of for _, _, of in found]) if found else [])
+        columns = [b.column(0), *(pa.array([x[i] for x in basic], f.type) for i, f in enumerate(list(_MEASURED)[1:6]))]
+        columns += [pa.array(x, f.type) for x, f in zip((sizes, vectors, spoken), list(_MEASURED)[6:])]
+        yield pa.RecordBatch.from_arrays(columns, schema=_MEASURED)
+
+
+def _of_segments(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row, characters, distribution and function words by language of every segment of a batch."""
+    size = b.column("size")
+    owner = np.repeat(np.arange(b.num_rows), size.value_lengths().to_numpy(zero_copy_only=False))
+    return owner, size.flatten().to_numpy(), b.column("vectors").flatten().to_numpy().reshape(-1, 7), b.column("spoken").flatten().to_numpy().reshape(-1, len(_LANGUAGES))
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By language and profile of prose: the number of segments near to it and the sum of their distributions."""
     sums, general = np.zeros((len(_LANGUAGES), len(_PROSE), 8)), Profiles()
     for b in batches:
-        found = [_distribution(run, kind) for text in b.column(0).to_pylist() for _, run, kind in _segments(text or "")]
-        if found:
-            v, language = np.array([x for x, _ in found]), np.array([y.argmax() for _, y in found])
+        _, _, v, spoken = _of_segments(b)
+        if len(v):
+            language = spoken.argmax(1)
             best, _ = general.nearest(v, language)
             first = len(general.names) - len(_LANGUAGES) * len(_PROSE)
             prose = best >= first
@@ -254,14 +290,18 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
 
-def fitted_profiles(documents: DataFrame, sample: int = SAMPLE) -> Profiles:
-    """Profiles fitted to about `sample` documents, spread by a hash of doc_id; what reaches the driver is sums of fixed size."""
-    every = max(1, documents.count() // sample)
-    some = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    got = [np.frombuffer(r[0], float) for r in some.mapInArrow(_sums, "sums binary").collect()]
+def _fitted(measured: DataFrame) -> Profiles:
+    got = [np.frombuffer(r[0], float) for r in measured.select("size", "vectors", "spoken").mapInArrow(_sums, "sums binary").collect()]
     return Profiles(np.sum(got, axis=0).reshape(len(_LANGUAGES), len(_PROSE), 8) if got else None)
 
 
+def fitted_profiles(documents: DataFrame, sample: int | None = None) -> Profiles:
+    """Profiles fitted to all documents, or to about `sample` where a caller asks for that; what reaches the driver is sums of fixed size."""
+    every = max(1, documents.count() // sample) if sample else 1
+    some = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) if every > 1 else documents
+    return _fitted(some.select("doc_id", "text").mapInArrow(_measured, _MEASURED_DDL))
+
+
 def _statistics(profiles: Profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(batches, profiles)
@@ -270,37 +310,22 @@ def _statistics(profiles: Profiles):
 
 
 def _rows(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[pa.RecordBatch]:
+    kinds = ["prose", "list", "table", "junk"]
+    kind_of = np.array([kinds.index(k) for k in profiles.kinds])
     for b in batches:
-        basic, owner, size, vectors, spoken = [], [], [], [], []
-        for d, text in enumerate(b.column(1).to_pylist()):
-            text = text or ""
-            words = _WORDS.findall(text.lower())
-            lines = [x for x in text.splitlines() if x.strip()]
-            chars = sum(map(len, words))
-            functions = sum(map(_MASK.__contains__, words))
-            basic.append((len(words), chars / max(1, len(words)), len(_SIGN.findall(text)) / max(1, len(text)), sum(1 for x in lines if _END.search(x)) / max(1, len(lines)), functions / max(1, len(words))))
-            for n, run, kind in _segments(text):
-                owner.append(d)
-                size.append(n)
-                v, of = _distribution(run, kind)
-                vectors.append(v)
-                spoken.append(of)
-        n = b.num_rows
+        own, size, v, spoken = _of_segments(b)
+        n, sizes = b.num_rows, size.astype(float)
         shares = np.zeros((n, 4))
         whole, words_of = np.zeros((n, 7)), np.zeros((n, len(_LANGUAGES)))
-        kinds = ["prose", "list", "table", "junk"]
-        if vectors:
-            v, own, sizes = np.array(vectors), np.array(owner), np.array(size, float)
-            np.add.at(words_of, own, np.array(spoken))
+        if len(v):
+            np.add.at(words_of, own, spoken)
             nearest, _ = profiles.nearest(v, words_of[own].argmax(1))
-            np.add.at(shares, (own, np.array([kinds.index(profiles.kinds[k]) for k in nearest])), sizes)
+            np.add.at(shares, (own, kind_of[nearest]), sizes)
             np.add.at(whole, own, v * sizes[:, None])
         total = shares.sum(1)
         shares = shares / np.maximum(total, 1e-12)[:, None]
         best, far = profiles.nearest(whole / np.maximum(whole.sum(1, keepdims=True), 1e-12), words_of.argmax(1))
-        columns = [b.column(0)]
-        columns += [pa.array([x[0] for x in basic], pa.int64())] + [pa.array([x[i] for x in basic], pa.float64()) for i in range(1, 5)]
-        columns += [pa.array(shares[:, i]) for i in range(4)]
+        columns = [b.column(i) for i in range(6)] + [pa.array(shares[:, i]) for i in range(4)]
         columns += [pa.array([profiles.names[k] if t else None for k, t in zip(best, total)], pa.string()), pa.array([float(far[i]) if total[i] else None for i in range(n)], pa.float64())]
         yield pa.RecordBatch.from_arrays(columns, schema=_OUT)
 
@@ -315,7 +340,11 @@ def text_statistics(documents: DataFrame, profiles: Profiles | None = None) -> D
     has zeros and a null profile; repeated rows stay. `profiles`: fitted to the documents where not given.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return documents.mapInArrow(_statistics(profiles or fitted_profiles(documents)), STATISTICS)
+    measured = documents.mapInArrow(_measured, _MEASURED_DDL)
+    if profiles is None:
+        measured = staged(measured, "segments")  # read twice below
+        profiles = _fitted(measured)
+    return measured.mapInArrow(_statistics(profiles), STATISTICS)
 
 
 def not_prose(documents: DataFrame) -> DataFrame:

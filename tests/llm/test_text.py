@@ -168,3 +168,15 @@ def test_profiles_follow_the_documents(spark):
     k = fitted.names.index("prose, en")
     assert fitted.p[k][0] > Profiles().p[k][0] and fitted.kinds[k] == "prose"  # more function words than in general
     assert {r.doc_id for r in text_statistics(df, fitted).where("prose_share > 0.5").collect()} == set(range(60))
+
+
+def test_profiles_are_fitted_to_every_document(spark):
+    # of 9,000 documents a sample of 4,000 took every second one, by a hash of the id
+    english = "The night was long and we sang all of the songs that she had brought with her, and then it was over."
+    df = spark.range(9000).selectExpr("id AS doc_id", f"'{english}' AS text")
+    fitted = fitted_profiles(df)
+    one = fitted_profiles(df.limit(1))
+    k = int(np.abs(one.p - Profiles().p).sum(1).argmax())
+    g = Profiles().p[k]
+    v = one.p[k] * 51 - g * 50  # the one document's distribution, beside a prior of 50
+    assert fitted.p[k] == pytest.approx((v * 9000 + g * 50) / 9050, abs=1e-9)
