@@ -157,6 +157,35 @@ def test_link_keys_lead_to_all_explicable_pairs():
     assert min(seen) > 1000
 
 
+def test_link_keys_lead_to_pairs_of_two_slips():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 7, 9, 10])))
+    seen = [0, 0]
+    for _ in range(20_000):
+        a = [word() for _ in range(rng.randint(1, 4))]
+        b = [x[0] if rng.random() < 0.2 else x for x in a]
+        for _ in range(2):
+            k, i = rng.randrange(len(b)), rng.randrange(10)
+            b[k] = b[k][:i] + b[k][i : i + 2][::-1] + b[k][i + 2 :] if rng.random() < 0.3 else b[k][:i] + rng.choice(["", "a", "b"]) + b[k][i + rng.randint(0, 1) :] or "a"
+        a, b = sorted(a), sorted(b)
+        if explicable(a, b):
+            (a1, a2), (b1, b2) = link_keys(a), link_keys(b)
+            initial = any(len(w) == 1 for w in a + b)
+            assert a1 & b1 or initial and a2 & b2, (a, b)
+            seen[initial] += 1
+    assert min(seen) > 1000
+
+
+def test_name_clusters_of_two_slips_and_of_short_words(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    pairs = [("Annika Thorwald", "Anniko Thorwold"), ("Vesterlundgard", "Vosterlundgerd"), ("J Marblequist", "Jon Marplequisd"), ("Kemp Oru", "Kepm Oru")]
+    names = [word(10) for _ in range(500)] + [x for p in pairs for x in p]
+    got = set(map(tuple, name_pairs(name_clusters(spark.createDataFrame([(n,) for n in names], "name string"))).collect()))
+    letters = lambda x: x.lower().replace(" ", "")
+    assert {tuple(sorted(map(letters, p))) for p in pairs} <= got
+
+
 def test_name_clusters_of_frequent_n_grams(spark):
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
