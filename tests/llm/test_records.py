@@ -268,3 +268,39 @@ def test_matching_in_cells_of_large_blocks_and_without_a_set_start(spark, monkey
     assert {(r.left_key, r.right_key) for r in matching.matches(*tables).collect()} == whole
     true = {(f"d{i}", f"v{i}") for i in range(90) if i % 9 or i % 4}  # without artist and year nothing decides
     assert len(whole & true) >= 0.75 * len(true) and len(whole - true) <= 3
+
+
+def test_blocks_lead_to_all_similar_titles(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abdeik", k=rng.randint(1, 10))) for _ in range(150)]
+    weights = {w: rng.choice([0.3, 1.0, 3.0, 8.0]) for w in words}
+    weight = lambda w: weights.setdefault(w, rng.choice([0.3, 2.0, 8.0]))
+
+    def edited(w):
+        for _ in range(rng.choice([0, 1, 2])):
+            i = rng.randrange(len(w))
+            w = w[:i] + rng.choice(["", "x"]) + w[i + rng.randint(0, 1) :] or "x"
+        return w
+
+    left = [rng.choices(words, k=rng.randint(1, 5)) for _ in range(250)]
+    right = [rng.sample(t, len(t)) if (r := rng.random()) < 0.1 else ["".join(t)] if r < 0.15 else [edited(w) for w in t if rng.random() < 0.8] or t for t in left] + [[rng.choice(words)] for _ in range(40)]
+    of = lambda titles: spark.createDataFrame([(w,) for t in titles for w in t], "w string").distinct()
+    near: dict = {}
+    for r in matching.near_words(of(left), of(right)).collect():
+        near.setdefault(r.w, []).append(f"{r.w} {r.x}")
+    mine = [matching._blocks_of(" ".join(t), [p for w in set(t) for p in near.get(w, ())], 0, weight) for t in left]
+    others = [matching._blocks_of(" ".join(t), None, 1, weight) for t in right]
+    similar = [(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if matching.title_similarity(a, b, weight) >= matching.TITLE]
+    assert len(similar) > 300 and all(mine[i].keys() & others[j].keys() for i, j in similar)
+    assert matching.near_words(of([]), of(right)).count() == 0
+
+
+def test_matches_of_one_misspelt_word_and_of_common_words(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5))
+    songs = [(f"{word()} {word()}", f"{word()} {word()}") for _ in range(60)]
+    right = [("v1", "Ann Konbriplon", "Sunflower", 1990), ("v2", "Bo Vesterlund", "Harbour", 1991)] + [(f"w{i}", *songs[i], 1980 + i % 9) for i in range(60)] + [(f"x{i}", word(), f"Harbour {word()}", 1970) for i in range(320)]
+    left = [("1", "Ann Konbriplon", "Sunflwoer", 1990), ("2", "Bo Vesterlumd", "Harbour", 1990)] + [(str(100 + i), *songs[i], None) for i in range(60)]
+    schema = "key string, artist string, title string, year int"
+    got = {(r.left_key, r.right_key) for r in matches(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()}
+    assert {("1", "v1"), ("2", "v2")} <= got and not any(r.startswith("x") for _, r in got)
