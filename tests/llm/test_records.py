@@ -2,13 +2,14 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chorale.llm.copies import canonical_key, collapsed, copy_runs
 from chorale.llm.graph import components
 from chorale.llm.matching import matches, title_parts
-from chorale.llm.names import SLOTS, _vector, average_linkage, cosine, explicable, grouped, link_keys, name_clusters, name_pairs, plain_words, slips, sparse_linkage
+from chorale.llm.names import _POSTING, SLOTS, _candidates, _keys, _vector, average_linkage, cosine, explicable, grouped, link_keys, name_clusters, name_pairs, plain_words, slips, sparse_linkage
 from chorale.llm import matching
 from chorale.llm.near import group_pairs, near_duplicate_groups, normal_text, trigrams
 from chorale.llm.representatives import best_records, completeness, consolidated, valid_confidence
@@ -157,6 +158,16 @@ def test_link_keys_lead_to_all_explicable_pairs():
     assert min(seen) > 1000
 
 
+def test_equal_words_of_names_are_paired_at_one_key():
+    def pairs(*names):
+        rows = sorted((k, word, n, any(len(w) == 1 for w in name.split())) for n, name in enumerate(names) for k, word in _keys(name.split())[1].items())
+        batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _POSTING)], schema=_POSTING)
+        return sum(b.num_rows for b in _candidates(iter([batch])))
+
+    assert pairs("gonlustozan samuel", "gonlustozan s") <= 2  # one key for each slip of the word before
+    assert pairs("gonlustozan samuel", "gonlustosan s") >= 1 and pairs("gonlustozan samuel", "gonlustozan simon") == 0
+
+
 def test_link_keys_lead_to_pairs_of_two_slips():
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 7, 9, 10])))
