@@ -3,6 +3,7 @@ import random
 import pytest
 
 from chorale.operators.fuzzy import edit_similar_pairs
+from chorale.plans import similar
 
 
 def distance(a, b):
@@ -52,3 +53,18 @@ def test_names_with_a_part_in_common_are_no_rows_of_a_join(spark):
 def test_empty_side(spark):
     some, none = spark.createDataFrame([("a",)], "x string"), spark.createDataFrame([], "x string")
     assert edit_similar_pairs(some, none).count() == 0 and edit_similar_pairs(none, some).count() == 0
+
+
+def test_titles_with_an_equal_run_are_not_compared_further(spark, monkeypatch):
+    asked = []
+
+    def pairs(a, known, least):
+        asked.append(sorted({r.a for r in a.collect()}))
+        return edit_similar_pairs(a, known, least)
+
+    monkeypatch.setattr(similar, "edit_similar_pairs", pairs)
+    titles = spark.createDataFrame([(1, "Anna Bell - Harbur Song"), (2, "Ana Belle Blue - Nobody"), (3, "none")], "record_id long, title string")
+    artists, songs = (spark.createDataFrame([(x,) for x in xs], "n string") for xs in (["anna bell", "Anna Bell", "Anna Belle Blue"], ["Harbour Song", "", None]))
+    got = sorted(map(tuple, similar.known_in_titles(titles, artists, songs).collect()))
+    assert got == [(1, "Anna Bell", "Harbour Song", 0.9), (2, "Anna Belle Blue", None, 0.84)]
+    assert asked == [["ana belle blue", "nobody"], ["ana belle blue", "anna bell", "harbur song", "nobody"]]
