@@ -315,3 +315,41 @@ def test_matches_of_one_misspelt_word_and_of_common_words(spark):
     schema = "key string, artist string, title string, year int"
     got = {(r.left_key, r.right_key) for r in matches(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()}
     assert {("1", "v1"), ("2", "v2")} <= got and not any(r.startswith("x") for _, r in got)
+
+
+def test_slips_meet_at_the_commoner_word_and_no_similar_title_is_left_out(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 5)))
+    words = ["river"] * 40 + [word() for _ in range(60)]
+
+    def edited(w):
+        k = rng.randrange(len(w))
+        return w[:k] + rng.choice("aeioubdfg") + w[k + 1 :]
+
+    left = [[w if rng.random() < 0.8 else edited(w) for w in rng.sample(words, rng.randint(1, 6))] for _ in range(150)]
+    right = [[w if rng.random() < 0.8 else edited(w) for w in t if rng.random() < 0.9] or t for t in left for _ in range(2)]
+    df = np.zeros(matching.SLOTS, np.int64)
+    for t in left + right:
+        for w in set(t):
+            df[matching._hash(w) % matching.SLOTS] += 1
+    weight, of = matching._weights(df, len(right)), lambda titles: spark.createDataFrame([(w,) for t in titles for w in t], "w string").distinct()
+    near: tuple[dict, dict] = {}, {}
+    for r in matching.near_words(of(left), of(right)).mapInArrow(matching._directed(spark.sparkContext.broadcast(df)), "w string, x string, up boolean").collect():
+        w, x = (r.w, r.x) if r.up else (r.x, r.w)
+        near[not r.up].setdefault(w, []).append(f"{w} {x}")
+    slips_of = lambda t, side: [p for w in dict.fromkeys(t) for p in near[side].get(w, ())]
+    rows = [[(matching._blocks_of(" ".join(t), slips_of(t, side), side, weight), matching._entries(" ".join(t), slips_of(t, side), weight)) for t in titles] for side, titles in enumerate((left, right))]
+    assert max(len(matching._blocks_of("river", slips_of(["river"], side), side, weight)) for side in (0, 1)) == 3  # not one for each of its slips
+    both = [*((b, 0) for _, b in rows[0]), *((b, 1) for _, b in rows[1])]
+    n = len(both)
+    t = matching.pa.table({"block": [0] * n, "song": list(range(n)), "side": [s for _, s in both], **{x: [0] * n for x in ("low", "high", "who_low", "who_high", "year")}, "words": matching.pa.array([b for b, _ in both], "binary")})
+    i, j = (x.ravel() for x in np.meshgrid(range(len(left)), range(len(left), n), indexing="ij"))
+    may = set(zip(*(x[matching._Rows(t).common(i, j)].tolist() for x in (i, j))))
+    similar = [(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if matching.title_similarity(a, b, weight) >= matching.TITLE]
+    assert len(similar) > 200 and all(rows[0][i][0].keys() & rows[1][j][0].keys() and (i, len(left) + j) in may for i, j in similar)
+    assert len(may) < 0.3 * len(left) * len(right)
+    schema = "key string, artist string, title string, year int"
+    tables = [spark.createDataFrame([(str(k), "Ann Konbriplon", " ".join(t), 1990) for k, t in enumerate(x)], schema) for x in (left[:60], right[:120])]
+    got = set(matches(*tables).collect())
+    monkeypatch.setattr(matching, "HELD", 0)
+    assert got and set(matches(*tables).collect()) == got
