@@ -353,3 +353,26 @@ def test_slips_meet_at_the_commoner_word_and_no_similar_title_is_left_out(spark,
     got = set(matches(*tables).collect())
     monkeypatch.setattr(matching, "HELD", 0)
     assert got and set(matches(*tables).collect()) == got
+
+
+def test_hot_regions_are_split_in_rounds_of_no_more_rows_than_the_first(spark, monkeypatch):
+    from chorale.llm import near
+
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abdeiklmnorstu", k=5)) for _ in range(30)]
+    texts = sorted({" ".join(rng.choices(words, k=rng.randint(8, 14))) for _ in range(400)})
+    texts = sorted({*texts, *(t[:9] + t[10:] for t in texts[::5])})
+    classes = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = lambda hot: {tuple(r) for r in near.candidate_pairs(classes, hot=hot, levels=1).collect()}
+    whole, made, regions = pairs(10_000), [], near._regions
+
+    def counted(rank, marks, chunks, threshold, buckets, *turn):
+        made.append((len(marks), len(near.Regions(rank.value, [m.value for m in marks], None, threshold, *turn).of(texts)[0])))
+        return regions(rank, marks, chunks, threshold, buckets, *turn)
+
+    monkeypatch.setattr(near, "_regions", counted)
+    bits = dict(zip(zip(*(x.tolist() for x in near.bitmaps(texts))), map(trigrams, texts)))
+    similar = lambda p: len(bits[p[:2]] & bits[p[2:]]) >= near.THRESHOLD * len(bits[p[:2]] | bits[p[2:]])
+    assert {p for p in pairs(60) if similar(p)} == {p for p in whole if similar(p)} != set()
+    first, split = made[0][1], [n for level, n in made if level]
+    assert sum(split) > 2 * first and max(split) < 1.6 * first
